@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .storage import documents
+from .exact import exact_duplicates
+from .packing import pack_documents
+from .records import round_trip_digests
+from .storage import Scratch, documents
 from .tokenize import bpe_digests, public_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +19,35 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir, "doc_id", "text"), public_vocabulary())
 
 
-QUERIES: dict[str, Query] = {"op2_bpe": op2_bpe}
-ORACLES: dict[str, str] = {}
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_duplicates(documents(spark, sf_dir, "doc_id", "text"), Scratch(spark, "op3"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents),
+b AS (SELECT norm, count(*) AS group_size, max(n_chars) AS most FROM d GROUP BY norm),
+k AS (SELECT d.norm, min(d.doc_id) AS keep_id FROM d JOIN b ON d.norm = b.norm AND d.n_chars = b.most GROUP BY d.norm)
+SELECT d.doc_id, k.keep_id, b.group_size, d.doc_id = k.keep_id AS kept, sha256(d.norm) AS text_sha256
+FROM d JOIN b ON d.norm = b.norm JOIN k ON d.norm = k.norm
+"""
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_vocabulary(), Scratch(spark, "op5"))
+
+
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op9")
+    return round_trip_digests(documents(spark, sf_dir, "doc_id", "text"), f"{scratch.path}/records", public_vocabulary())
+
+
+QUERIES: dict[str, Query] = {
+    "op2_bpe": op2_bpe,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_packing": op5_packing,
+    "op9_records": op9_records,
+}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -57,3 +58,8 @@ class Scratch:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marks a table of a few narrow columns for broadcast if it has at most ``rows`` rows; else leaves the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
