@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact import exact_duplicates
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .records import round_trip_digests
 from .storage import Scratch, documents
@@ -15,6 +16,29 @@ from .tokenize import bpe_digests, public_vocabulary
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), Scratch(spark, "op1"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 75 * (p.n + q.n - i)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT reach.d, edge.y FROM reach JOIN edge ON reach.m = edge.x),
+top AS (SELECT d, min(m) AS component_id FROM reach GROUP BY d)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, top.component_id, d.doc_id = top.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN top ON top.d = d.doc_id
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir, "doc_id", "text"), public_vocabulary())
 
@@ -45,9 +69,10 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
     "op9_records": op9_records,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL}
