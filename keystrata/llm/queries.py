@@ -10,6 +10,7 @@ from .exact import exact_duplicates
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .records import round_trip_digests
+from .spans import without_repeats
 from .storage import Scratch, documents
 from .tokenize import bpe_digests, public_vocabulary
 
@@ -68,11 +69,16 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(documents(spark, sf_dir, "doc_id", "text"), f"{scratch.path}/records", public_vocabulary())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir, "doc_id", "text"), Scratch(spark, "op10"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
     "op9_records": op9_records,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL}
