@@ -10,6 +10,7 @@ from .exact import exact_duplicates
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .records import round_trip_digests
+from .rules import quality_by_rules
 from .spans import without_repeats
 from .storage import Scratch, documents
 from .tokenize import bpe_digests, public_vocabulary
@@ -64,6 +65,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_vocabulary(), Scratch(spark, "op5"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_by_rules(documents(spark, sf_dir, "doc_id", "text"), Scratch(spark, "op6"))
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op9")
     return round_trip_digests(documents(spark, sf_dir, "doc_id", "text"), f"{scratch.path}/records", public_vocabulary())
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_records": op9_records,
     "op10_substring_dedup": op10_substring_dedup,
 }
