@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid
 from .exact import exact_duplicates
+from .labelled import held_out
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import quality_scores
 from .records import round_trip_digests
 from .rules import quality_by_rules
 from .spans import without_repeats
@@ -69,6 +72,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_by_rules(documents(spark, sf_dir, "doc_id", "text"), Scratch(spark, "op6"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_scores(documents(spark, sf_dir, "doc_id", "text"), labels, Scratch(spark, "op7"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return langid.languages(docs, langid.fit(docs.where(~held_out(parts=3, part=1))))
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op9")
     return round_trip_digests(documents(spark, sf_dir, "doc_id", "text"), f"{scratch.path}/records", public_vocabulary())
@@ -84,6 +97,8 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_records": op9_records,
     "op10_substring_dedup": op10_substring_dedup,
 }
