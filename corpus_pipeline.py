@@ -1,20 +1,66 @@
-"""Corpus pipeline: the stages, each reading what the one before it wrote."""
+"""Corpus pipeline: toxicity, exact dedup, near-dedup, repeated passages, packing.
 
-from __future__ import annotations
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
+next one's docs.  All but the last return the columns of documents.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keystrata.llm.exact import drop_exact_duplicates
+from keystrata.llm.neardup import drop_near_duplicates
+from keystrata.llm.packing import pack_documents
+from keystrata.llm.spans import without_repeats
 from keystrata.llm.storage import Scratch
+from keystrata.llm.tokenize import public_vocabulary
+from keystrata.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores below 0.5; it learns from labels outside the held-out fold."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_duplicates(docs, Scratch(spark, "stage-exact"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return drop_near_duplicates(docs, Scratch(spark, "stage-near"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the later copies of repeated passages; n_chars follows the text."""
+    return with_length(without_repeats(docs, Scratch(spark, "stage-spans")).drop("n_sentences", "n_removed"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document's tokens lies in sequences of at most 4096."""
+    return pack_documents(docs, public_vocabulary(), Scratch(spark, "stage-packing"))
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
 #: Learned scores and token ids have no form in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
-    for name, stage in STAGES:
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

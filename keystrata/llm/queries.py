@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, toxicity
 from .exact import exact_duplicates
 from .labelled import held_out
 from .neardup import near_duplicates
@@ -64,6 +64,12 @@ FROM d JOIN b ON d.norm = b.norm JOIN k ON d.norm = k.norm
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.toxicity_scores(docs, toxicity.fit_labelled(docs, labels))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_vocabulary(), Scratch(spark, "op5"))
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality": op7_quality,
