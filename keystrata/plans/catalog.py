@@ -5,6 +5,545 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..operators import cluster, logs, ranges, snapshots, versions
+from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Parameters of the queries: keys, times and limits.
+KEY, LOW, HIGH, AT = "t0000000042", "t0000000010", "t0000000030", 50_000
+BIG = F.col("size")
+
+
+def query(sql: str | None = None, with_: str = T.SQL):
+    """Registers a function under its name; ``sql`` follows the common tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {with_} {sql}" if with_ else sql
+        return f
+
+    return add
+
+
+_NEWEST = """, data AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY commit_ts DESC) AS rn FROM mutations WHERE op IN ('P', 'D') {where}),
+live AS (SELECT k, commit_ts, value FROM data WHERE rn = 1 AND op <> 'D')"""
+
+
+# -- scans and versions ---------------------------------------------------------------------
+
+
+@query(_NEWEST.format(where=f"AND commit_ts <= {AT}") + " SELECT k, commit_ts, value FROM live")
+def q_mvcc_asof(spark, sf_dir):
+    return versions.as_of(T.mutations(spark, sf_dir), AT)
+
+
+@query(_NEWEST.format(where=f"AND k = '{KEY}'") + " SELECT k, commit_ts, value FROM live")
+def q_point_get(spark, sf_dir):
+    return versions.point_get(T.mutations(spark, sf_dir), KEY)
+
+
+@query(_NEWEST.format(where="") + " SELECT k, commit_ts, value FROM live")
+def q_snapshot_get(spark, sf_dir):
+    return versions.newest(T.mutations(spark, sf_dir)).where("op <> 'D'").select("k", "commit_ts", "value")
+
+
+@query(_NEWEST.format(where=f"AND k >= '{LOW}' AND k < '{HIGH}'") + " SELECT k, commit_ts, value FROM live")
+def q_range_scan(spark, sf_dir):
+    return versions.range_scan(T.mutations(spark, sf_dir), LOW, HIGH)
+
+
+@query(f"SELECT k, commit_ts, op, value FROM mutations WHERE k >= '{LOW}' AND k < '{HIGH}'")
+def q_range_scan_all_versions(spark, sf_dir):
+    return versions.in_range(T.mutations(spark, sf_dir), LOW, HIGH).select("k", "commit_ts", "op", "value")
+
+
+@query("SELECT r.region_id, NOT EXISTS (SELECT 1 FROM mutations m WHERE m.op = 'L' AND m.event_id % 1000 = 1 AND m.k >= r.start_key AND (r.end_key = '' OR m.k < r.end_key)) AS is_empty FROM regions r")
+def q_range_empty(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir).where("op = 'L' AND event_id % 1000 = 1").select("k")
+    regions = T.regions(spark, sf_dir)
+    full = ranges.locate(rows, regions).select("region_id").distinct().withColumn("full", F.lit(True))
+    return regions.join(full, "region_id", "left").select("region_id", F.col("full").isNull().alias("is_empty"))
+
+
+@query(f"SELECT k, start_ts, value FROM mutations WHERE op = 'P' AND event_id % 7 = 0 AND k >= '{LOW}' AND k < '{HIGH}'")
+def q_lock_scan(spark, sf_dir):
+    return versions.in_range(_open(spark, sf_dir), LOW, HIGH).select("k", "start_ts", "value")
+
+
+@query("SELECT k, min(substr(k, 1, 1)) AS prefix, min(substr(k, 1, length(k) - 4)) AS without_suffix, count(*) AS n FROM mutations GROUP BY k")
+def q_prefix_project(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"))
+    return rows.select("k", F.substring("k", 1, 1).alias("prefix"), F.expr("substring(k, 1, length(k) - 4)").alias("without_suffix"), "n")
+
+
+@query("SELECT hex(encode(substr(k, 1, 8))) || 'FF' || hex(encode(substr(k, 9))) || repeat('00', 16 - length(k)) || hex(encode(chr(127)))[1:0] || upper(to_hex(255 - (16 - length(k)))) AS code, count(*) AS n FROM mutations GROUP BY k")
+def q_key_codec(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"))
+    return rows.select(K.comparable_bytes(F.col("k")).alias("code"), "n")
+
+
+@query("SELECT event_id, event_id * 262144 + event_id % 1000 AS packed, event_id AS physical, event_id % 1000 AS logical, event_id * 1024 + event_id % 1000 AS lease FROM mutations")
+def q_timestamp_pack(spark, sf_dir):
+    rows = T.events(spark, sf_dir).select("event_id", K.pack_timestamp(F.col("event_id"), F.col("event_id") % 1000).alias("packed"), K.pack_lease(F.col("event_id"), F.col("event_id") % 1000).alias("lease"))
+    physical, logical = K.unpack_timestamp(F.col("packed"))
+    return rows.select("event_id", "packed", physical.alias("physical"), logical.cast("long").alias("logical"), "lease")
+
+
+# -- transactions ---------------------------------------------------------------------------
+
+
+def _open(spark, sf_dir) -> DataFrame:
+    return T.mutations(spark, sf_dir).where("op = 'P' AND event_id % 7 = 0")
+
+
+def _locks(rows: DataFrame) -> DataFrame:
+    other = F.when(F.col("event_id") % 3 == 0, T.key_of(F.col("user_id") + 1)).otherwise(F.col("k"))
+    return rows.where("op <> 'R'").select("k", "start_ts", "op", other.alias("primary_key"))
+
+
+@query("SELECT 'lock' AS cf, k, start_ts FROM mutations WHERE op <> 'R' UNION ALL SELECT 'default', k, start_ts FROM mutations WHERE op <> 'R' AND size > 64")
+def q_prewrite_rows(spark, sf_dir):
+    return versions.prewrites(T.mutations(spark, sf_dir), BIG)
+
+
+@query("""SELECT k, start_ts, commit_ts, op, CASE WHEN op <> 'L' THEN 'write' WHEN event_id % 3 = 0 THEN 'none' ELSE 'status' END AS made
+FROM mutations WHERE op <> 'R' AND NOT (op = 'P' AND event_id % 7 = 0)""")
+def q_commit_join_lock(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir)
+    ended = rows.where("op <> 'R' AND NOT (op = 'P' AND event_id % 7 = 0)").select("k", "start_ts", "commit_ts")
+    return versions.commits(ended, _locks(rows))
+
+
+@query("SELECT k, start_ts, CAST(0 AS BIGINT) AS commit_ts FROM mutations WHERE op = 'R'")
+def q_rollback_status(spark, sf_dir):
+    return T.mutations(spark, sf_dir).where("op = 'R'").select("k", "start_ts", F.lit(0).cast("long").alias("commit_ts"))
+
+
+@query("SELECT k, start_ts, op FROM mutations WHERE op = 'P' AND event_id % 7 = 0")
+def q_open_locks(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir)
+    ended = rows.where("NOT (op = 'P' AND event_id % 7 = 0)").select("k", "start_ts")
+    return versions.open_locks(_locks(rows), ended).select("k", "start_ts", "op")
+
+
+@query(_NEWEST.format(where=f"AND k >= '{LOW}' AND k < '{HIGH}'") + " SELECT k, commit_ts + 1 AS commit_ts, 'D' AS op FROM live")
+def q_delete_range(spark, sf_dir):
+    return versions.delete_range(T.mutations(spark, sf_dir), LOW, HIGH)
+
+
+@query(f"SELECT region_id, count(*) AS n FROM mutations WHERE NOT (k >= '{LOW}' AND k < '{HIGH}') GROUP BY region_id")
+def q_without_range(spark, sf_dir):
+    return versions.without_range(T.mutations(spark, sf_dir), LOW, HIGH).groupBy("region_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT k, is_lock, ts, row_number() OVER (PARTITION BY k ORDER BY is_lock DESC, ts DESC) AS place
+FROM (SELECT k, 1 AS is_lock, start_ts AS ts FROM mutations WHERE op = 'P' AND event_id % 7 = 0 UNION ALL SELECT k, 0, commit_ts FROM mutations WHERE op = 'D')""")
+def q_lock_write_merge(spark, sf_dir):
+    return versions.merge_locks_and_writes(_open(spark, sf_dir), T.mutations(spark, sf_dir).where("op = 'D'"))
+
+
+@query("SELECT user_id % 256 AS slot, count(DISTINCT event_id) AS n_txns FROM mutations WHERE event_id % 40 < 10 GROUP BY 1 HAVING count(DISTINCT event_id) > 1")
+def q_latch_conflicts(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir).where("event_id % 40 < 10").withColumnRenamed("event_id", "txn")
+    return cluster.latch_conflicts(rows, F.expr("cast(substring(k, 2) AS bigint)") % 256)
+
+
+# -- logs -----------------------------------------------------------------------------------
+
+
+@query("""SELECT region_id, idx, term, size FROM log WHERE idx < 50
+UNION ALL SELECT region_id, idx, term + 1, size + 1 FROM log WHERE idx >= 50 AND idx < 80""")
+def q_log_append_truncate(spark, sf_dir):
+    old = T.log(spark, sf_dir).select("region_id", "idx", "term", "size")
+    new = old.where("idx >= 50 AND idx < 80").select("region_id", "idx", (F.col("term") + 1).alias("term"), (F.col("size") + 1).alias("size"))
+    return logs.append(old, new)
+
+
+@query("""SELECT region_id, idx, term, size, CAST(c AS BIGINT) AS total FROM (SELECT *, sum(size) OVER w AS c, row_number() OVER w AS rn FROM log WHERE idx >= 100 AND idx < 200
+WINDOW w AS (PARTITION BY region_id ORDER BY idx)) WHERE c <= 1000 OR rn = 1""")
+def q_log_fetch_budget(spark, sf_dir):
+    return logs.fetch(T.log(spark, sf_dir).select("region_id", "idx", "term", "size"), 100, 200, 1000)
+
+
+@query("""SELECT region_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n FROM
+(SELECT region_id, idx, idx - row_number() OVER (PARTITION BY region_id ORDER BY idx) AS g FROM log WHERE event_id % 97 <> 0) GROUP BY region_id, g""")
+def q_log_contiguity(spark, sf_dir):
+    return logs.islands(T.log(spark, sf_dir).where("event_id % 97 <> 0"))
+
+
+@query("""SELECT region_id, CAST(CASE WHEN idx < 10 THEN 0 WHEN idx < 50 THEN 1 ELSE 3 END AS INTEGER) AS call, count(*) AS n_deleted FROM log WHERE idx < 60 GROUP BY 1, 2""")
+def q_log_gc_count(spark, sf_dir):
+    return logs.collected(T.log(spark, sf_dir), [(0, 10), (0, 50), (50, 50), (50, 60)])
+
+
+_STATE = "state AS (SELECT region_id, CAST(min(idx) + region_id * 10 AS BIGINT) AS first_idx, max(idx) AS applied_idx, CAST(max(idx) - region_id * 20 AS BIGINT) AS replicated_idx, CAST(sum(size) AS BIGINT) AS log_size FROM log GROUP BY region_id)"
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    rows = T.log(spark, sf_dir).groupBy("region_id").agg(F.min("idx").alias("low"), F.max("idx").alias("applied_idx"), F.sum("size").alias("log_size"))
+    return rows.select("region_id", (F.col("low") + F.col("region_id") * 10).alias("first_idx"), "applied_idx", (F.col("applied_idx") - F.col("region_id") * 20).alias("replicated_idx"), "log_size")
+
+
+@query(f""", {_STATE}, chosen AS (SELECT *, CASE WHEN (applied_idx > first_idx AND applied_idx - first_idx >= 1700) OR log_size >= 110000 THEN applied_idx
+WHEN replicated_idx >= first_idx AND replicated_idx - first_idx > 50 THEN replicated_idx END - 1 AS c FROM state)
+SELECT region_id, CASE WHEN c >= first_idx THEN c END AS compact_idx FROM chosen""")
+def q_log_compact_decision(spark, sf_dir):
+    return logs.compaction(_state(spark, sf_dir), 1700, 110_000, 50)
+
+
+@query(f", {_STATE} SELECT region_id, CAST(floor(log_size * (CAST(applied_idx - first_idx AS DOUBLE) / applied_idx)) AS BIGINT) AS size_left FROM state")
+def q_log_size_estimate(spark, sf_dir):
+    s = _state(spark, sf_dir)
+    return s.select("region_id", logs.size_after_compaction(F.col("log_size"), F.col("applied_idx"), F.col("applied_idx") - F.col("first_idx")).alias("size_left"))
+
+
+@query("SELECT region_id, max(idx) AS applied_idx, max(term) AS term, count(*) AS n_entries, CAST(sum(size) AS BIGINT) AS n_bytes FROM log GROUP BY region_id")
+def q_apply_progress(spark, sf_dir):
+    return logs.progress(T.log(spark, sf_dir))
+
+
+@query("""SELECT c.region_id, c.idx, CASE WHEN l.term = c.term THEN 'done' WHEN c.idx <= m.last THEN 'stale' ELSE 'waiting' END AS reply
+FROM (SELECT region_id, idx + 40 AS idx, term FROM log WHERE idx % 5 = 0) c LEFT JOIN log l ON l.region_id = c.region_id AND l.idx = c.idx JOIN (SELECT region_id, max(idx) AS last FROM log GROUP BY 1) m ON m.region_id = c.region_id""")
+def q_log_callbacks(spark, sf_dir):
+    rows = T.log(spark, sf_dir)
+    calls = rows.where("idx % 5 = 0").select("region_id", (F.col("idx") + 40).alias("idx"), "term")
+    return logs.replies(rows, calls)
+
+
+@query("SELECT region_id, idx, term FROM log WHERE idx <= 100 + region_id * 10")
+def q_applied_entries(spark, sf_dir):
+    marks = T.regions(spark, sf_dir).select("region_id", (100 + F.col("region_id") * 10).alias("applied_idx"))
+    return logs.applied(T.log(spark, sf_dir), marks).select("region_id", "idx", "term")
+
+
+# -- regions --------------------------------------------------------------------------------
+
+
+@query("SELECT k, start_ts, region_id FROM mutations")
+def q_key_to_region(spark, sf_dir):
+    return ranges.locate(T.mutations(spark, sf_dir).select("k", "start_ts"), T.regions(spark, sf_dir)).select("k", "start_ts", "region_id")
+
+
+@query("""SELECT k, CAST(sum(CASE WHEN end_key = '' OR k < end_key THEN 1 ELSE 0 END) AS BIGINT) AS n_half_open, CAST(sum(CASE WHEN k > start_key AND (end_key = '' OR k < end_key) THEN 1 ELSE 0 END) AS BIGINT) AS n_open, count(*) AS n_closed
+FROM (SELECT DISTINCT k FROM mutations) JOIN regions ON k >= start_key AND (end_key = '' OR k <= end_key) GROUP BY k""")
+def q_key_in_region(spark, sf_dir):
+    return ranges.members(T.mutations(spark, sf_dir).select("k").distinct(), T.regions(spark, sf_dir))
+
+
+@query("""SELECT region_id, count(*) AS n_keys, CAST(sum(CASE WHEN k > start_key THEN 1 ELSE 0 END) AS BIGINT) AS n_inside FROM (SELECT DISTINCT k FROM mutations) JOIN regions ON k >= start_key AND (end_key = '' OR k < end_key) GROUP BY 1""")
+def q_key_in_region_exclusive(spark, sf_dir):
+    rows = ranges.locate(T.mutations(spark, sf_dir).select("k").distinct(), T.regions(spark, sf_dir)).join(T.regions(spark, sf_dir), "region_id")
+    inside = K.strictly_within(F.col("k"), F.col("start_key"), F.col("end_key"))
+    return rows.groupBy("region_id").agg(F.count("*").alias("n_keys"), F.sum(inside.cast("long")).alias("n_inside"))
+
+
+@query("SELECT region_id, count(*) AS n_exceeding FROM (SELECT DISTINCT k FROM mutations) JOIN regions ON end_key <> '' AND k >= end_key GROUP BY 1")
+def q_key_exceeds_end(spark, sf_dir):
+    keys, regions = T.mutations(spark, sf_dir).select("k").distinct(), T.regions(spark, sf_dir).where("end_key <> ''")
+    return keys.join(regions, F.col("k") >= F.col("end_key")).groupBy("region_id").agg(F.count("*").alias("n_exceeding"))
+
+
+_SHIFTED = "shifted AS (SELECT region_id, 't' || lpad(CAST(region_id * 25 + 10 AS VARCHAR), 10, '0') AS start_key, 't' || lpad(CAST(region_id * 25 + 30 AS VARCHAR), 10, '0') AS end_key FROM regions)"
+
+
+def _shifted(spark, sf_dir) -> DataFrame:
+    return T.regions(spark, sf_dir).select("region_id", T.key_of(F.col("region_id") * 25 + 10).alias("start_key"), T.key_of(F.col("region_id") * 25 + 30).alias("end_key"))
+
+
+@query(f", {_SHIFTED} SELECT a.region_id AS a_id, b.region_id AS b_id FROM shifted a JOIN regions b ON a.region_id <> b.region_id AND (b.end_key = '' OR a.start_key < b.end_key) AND b.start_key < a.end_key")
+def q_region_overlap(spark, sf_dir):
+    return ranges.overlaps(_shifted(spark, sf_dir), T.regions(spark, sf_dir))
+
+
+@query("SELECT region_id, end_key FROM regions WHERE end_key > 't0000000025' AND end_key <= 't0000000100'")
+def q_regions_ending_in(spark, sf_dir):
+    return ranges.ending_in(T.regions(spark, sf_dir), "t0000000025", "t0000000100").select("region_id", "end_key")
+
+
+@query("""SELECT r.region_id AS want_id, NOT EXISTS (SELECT 1 FROM regions x WHERE x.region_id % 4 = 3 AND (r.region_id IN (x.region_id, x.region_id - 1))) AS covered,
+(SELECT count(*) FROM regions x WHERE x.region_id % 4 <> 3 AND x.region_id IN (r.region_id, r.region_id + 1)) AS n_ranges FROM regions r, top WHERE r.region_id < top""")
+def q_range_coverage(spark, sf_dir):
+    regions = T.regions(spark, sf_dir)
+    start = F.when(F.col("region_id") == 0, "").otherwise(T.key_of(F.col("region_id") * 25 + 5))
+    wanted = regions.where("end_key <> ''").select(F.col("region_id").alias("want_id"), start.alias("want_start"), T.key_of(F.col("region_id") * 25 + 40).alias("want_end"))
+    return ranges.coverage(regions.where("region_id % 4 <> 3"), wanted)
+
+
+@query("SELECT region_id, lag(region_id) OVER (ORDER BY start_key) AS left_id, lead(region_id) OVER (ORDER BY start_key) AS right_id FROM regions")
+def q_region_sibling(spark, sf_dir):
+    return ranges.siblings(T.regions(spark, sf_dir))
+
+
+def _claims(spark, sf_dir) -> DataFrame:
+    """Requests with the epoch that their sender believed in."""
+    rows = T.mutations(spark, sf_dir).select("event_id", "region_id", (1 + F.col("event_id") % 3).alias("v"), (1 + F.col("event_id") % 2).alias("c"))
+    return rows.join(T.regions(spark, sf_dir), "region_id")
+
+
+_CLAIMS = "claims AS (SELECT m.event_id, m.region_id, 1 + m.event_id % 3 AS v, 1 + m.event_id % 2 AS c, r.version, r.conf_version FROM mutations m JOIN regions r ON r.region_id = m.region_id)"
+
+
+@query(f", {_CLAIMS} SELECT region_id, CAST(sum(CASE WHEN v < version OR c < conf_version THEN 1 ELSE 0 END) AS BIGINT) AS n_older, CAST(sum(CASE WHEN v <> version OR c <> conf_version THEN 1 ELSE 0 END) AS BIGINT) AS n_differ, count(*) AS n FROM claims GROUP BY 1")
+def q_epoch_stale(spark, sf_dir):
+    a = (F.col("v"), F.col("c"), F.col("version"), F.col("conf_version"))
+    return _claims(spark, sf_dir).groupBy("region_id").agg(F.sum(K.epoch_older(*a).cast("long")).alias("n_older"), F.sum(K.epoch_differs(*a).cast("long")).alias("n_differ"), F.count("*").alias("n"))
+
+
+_ADMIN = "CASE event_id % 6 WHEN 0 THEN 'CompactLog' WHEN 1 THEN 'ChangePeer' WHEN 2 THEN 'Split' WHEN 3 THEN 'TransferLeader' END"
+
+
+@query(f", {_CLAIMS} SELECT event_id, NOT ((CASE WHEN event_id % 6 IN (0, 1) THEN false ELSE v <> version END) OR (CASE WHEN event_id % 6 IN (1, 2, 3) THEN c <> conf_version ELSE false END)) AS ok FROM claims")
+def q_epoch_check_cmd(spark, sf_dir):
+    c = F.col
+    return _claims(spark, sf_dir).withColumn("admin", F.expr(_ADMIN)).select("event_id", cluster.epoch_matches(c("admin"), c("v"), c("c"), c("version"), c("conf_version")).alias("ok"))
+
+
+@query(""", cuts AS (SELECT region_id, 't' || lpad(CAST(region_id * 25 + d AS VARCHAR), 10, '0') AS cut FROM regions, (SELECT unnest([5, 12, 12, 0, 60]) AS d) WHERE region_id % 2 = 0),
+good AS (SELECT DISTINCT c.region_id, c.cut FROM cuts c JOIN regions r ON r.region_id = c.region_id AND c.cut > r.start_key AND (r.end_key = '' OR c.cut < r.end_key)),
+edges AS (SELECT region_id, start_key AS s FROM regions UNION ALL SELECT region_id, cut FROM good)
+SELECT e.region_id, row_number() OVER w - 1 AS piece, e.s AS start_key, coalesce(lead(e.s) OVER w, r.end_key) AS end_key, r.version + (SELECT count(*) FROM good g WHERE g.region_id = e.region_id) AS version
+FROM edges e JOIN regions r ON r.region_id = e.region_id WINDOW w AS (PARTITION BY e.region_id ORDER BY e.s)""")
+def q_batch_split(spark, sf_dir):
+    regions = T.regions(spark, sf_dir)
+    cuts = regions.where("region_id % 2 = 0").select("region_id", F.explode(F.array(*map(F.lit, (5, 12, 12, 0, 60)))).alias("d"))
+    return ranges.split(regions, cuts.select("region_id", T.key_of(F.col("region_id") * 25 + F.col("d")).alias("cut")))
+
+
+@query(f""", {_SHIFTED} SELECT o.region_id, o.start_key, n.start_key AS end_key FROM regions o JOIN shifted n ON n.region_id = o.region_id WHERE o.start_key < n.start_key
+UNION ALL SELECT o.region_id, n.end_key, o.end_key FROM regions o JOIN shifted n ON n.region_id = o.region_id WHERE o.end_key = '' OR o.end_key > n.end_key""")
+def q_range_minus(spark, sf_dir):
+    return ranges.minus(T.regions(spark, sf_dir).select("region_id", "start_key", "end_key"), _shifted(spark, sf_dir))
+
+
+_REGION_STATE = "CASE WHEN region_id % 5 = 4 THEN 'Tombstone' WHEN region_id % 5 = 3 THEN 'Applying' ELSE 'Normal' END"
+
+
+@query(f"SELECT {_REGION_STATE} AS state, count(*) AS n_rows, count(DISTINCT region_id) AS n_regions FROM mutations GROUP BY 1")
+def q_region_state_counts(spark, sf_dir):
+    return T.mutations(spark, sf_dir).groupBy(F.expr(_REGION_STATE).alias("state")).agg(F.count("*").alias("n_rows"), F.count_distinct("region_id").alias("n_regions"))
+
+
+@query("SELECT region_id, arg_max(CASE event_id % 4 WHEN 0 THEN 'split' WHEN 1 THEN 'conf-change' WHEN 2 THEN 'leader' ELSE 'follower' END, event_id) AS state, max(event_id) AS at FROM mutations GROUP BY 1")
+def q_region_events(spark, sf_dir):
+    state = F.expr("CASE event_id % 4 WHEN 0 THEN 'split' WHEN 1 THEN 'conf-change' WHEN 2 THEN 'leader' ELSE 'follower' END")
+    return cluster.newest_state(T.mutations(spark, sf_dir).select("region_id", F.col("event_id").alias("at"), state.alias("state")))
+
+
+# -- split keys -----------------------------------------------------------------------------
+
+
+def _sequence(spark, sf_dir) -> DataFrame:
+    return T.log(spark, sf_dir).select("region_id", F.col("idx").alias("seq"), "k", "size")
+
+
+@query("""SELECT region_id, idx AS seq, k FROM (SELECT *, count(*) OVER (PARTITION BY region_id) AS n FROM log)
+WHERE idx > 1 AND (idx - 1) % 100 = 0 AND NOT (idx + 100 > n AND (n - 1) % 100 + 1 + 100 < 150)""")
+def q_split_by_keys(spark, sf_dir):
+    return ranges.split_keys_by_count(_sequence(spark, sf_dir), 100, 150)
+
+
+@query(""", numbered AS (SELECT region_id, idx, size, max(idx) OVER (PARTITION BY region_id) AS n FROM log),
+scan AS (
+  SELECT region_id, idx, n, size > 2000 AS cut, CASE WHEN size > 2000 THEN 0 ELSE size END AS total FROM numbered WHERE idx = 1
+  UNION ALL
+  SELECT b.region_id, b.idx, b.n, a.total + b.size > 2000, CASE WHEN a.total + b.size <= 2000 THEN a.total + b.size WHEN a.total = 2000 THEN b.size ELSE 0 END
+  FROM scan a JOIN numbered b ON b.region_id = a.region_id AND b.idx = a.idx + 1),
+cuts AS (SELECT region_id, idx, row_number() OVER (PARTITION BY region_id ORDER BY idx DESC) AS back FROM scan WHERE cut),
+tail AS (SELECT region_id, total FROM scan WHERE idx = n)
+SELECT c.region_id, c.idx AS seq FROM cuts c JOIN tail t ON t.region_id = c.region_id WHERE NOT (c.back = 1 AND t.total + 2000 < 3000)""", with_="RECURSIVE " + T.SQL)
+def q_split_by_size(spark, sf_dir):
+    return ranges.split_keys_by_size(_sequence(spark, sf_dir), 2000, 3000)
+
+
+@query("SELECT region_id AS table_id, min(k) AS k FROM mutations WHERE region_id > (SELECT min(region_id) FROM mutations) GROUP BY region_id")
+def q_split_by_table(spark, sf_dir):
+    return ranges.split_keys_by_table(T.mutations(spark, sf_dir).select(F.col("region_id").alias("table_id"), "k"))
+
+
+@query("""SELECT region_id, idx AS seq, k FROM (SELECT *, idx // 64 - 1 AS "at", count(*) OVER (PARTITION BY region_id) AS n FROM log WHERE idx % 64 = 0) WHERE "at" = n // 2""")
+def q_half_split(spark, sf_dir):
+    return ranges.half_split(_sequence(spark, sf_dir), 64)
+
+
+@query("SELECT region_id, CAST(sum(size) AS BIGINT) AS diff, sum(size) >= 100000 AND region_id % 3 <> 0 AS check_split FROM mutations WHERE op = 'P' GROUP BY region_id")
+def q_split_check_trigger(spark, sf_dir):
+    rows = T.mutations(spark, sf_dir).where("op = 'P'").groupBy("region_id").agg(F.sum("size").alias("diff"))
+    return rows.select("region_id", "diff", ((F.col("diff") >= 100_000) & (F.col("region_id") % 3 != 0)).alias("check_split"))
+
+
+# -- snapshots ------------------------------------------------------------------------------
+
+_FAMILIES = """, families AS (
+SELECT 'write' AS cf, k, CASE WHEN op = 'R' THEN start_ts ELSE commit_ts END AS ts, start_ts, op, CASE WHEN size > 64 AND op = 'P' THEN NULL ELSE value END AS value FROM mutations WHERE NOT (op = 'P' AND event_id % 7 = 0)
+UNION ALL SELECT 'default', k, start_ts, start_ts, 'P', value FROM mutations WHERE size > 64 AND op = 'P' AND NOT event_id % 7 = 0
+UNION ALL SELECT 'lock', k, start_ts, start_ts, op, value FROM mutations WHERE op = 'P' AND event_id % 7 = 0)"""
+
+
+def _families(spark, sf_dir) -> DataFrame:
+    return snapshots.export(T.mutations(spark, sf_dir).where("NOT (op = 'P' AND event_id % 7 = 0)"), _open(spark, sf_dir), BIG)
+
+
+@query(_FAMILIES + " SELECT cf, k, ts, start_ts, op, value FROM families")
+def q_snapshot_export(spark, sf_dir):
+    return _families(spark, sf_dir).drop("short")
+
+
+@query("SELECT k, start_ts, CASE WHEN op = 'R' THEN start_ts ELSE commit_ts END AS commit_ts, op, value, false AS broken FROM mutations WHERE NOT (op = 'P' AND event_id % 7 = 0)")
+def q_snapshot_import(spark, sf_dir):
+    return snapshots.load(_families(spark, sf_dir))
+
+
+@query(_FAMILIES + " SELECT cf, count(*) AS n_rows, CAST(sum(length(k)) AS BIGINT) AS key_bytes, min(k) AS first_key, max(k) AS last_key FROM families GROUP BY cf")
+def q_snapshot_cf_stats(spark, sf_dir):
+    return snapshots.family_statistics(_families(spark, sf_dir))
+
+
+_FILES = "files AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'gen' ELSE 'rev' END || '_' || region_id || '_' || term || '_' || idx AS name, event_id AS mtime, size, event_id % 2 = 0 AS is_sending, region_id, term, idx FROM log WHERE event_id % 50 IN (0, 1))"
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    rows = T.log(spark, sf_dir).where("event_id % 50 IN (0, 1)")
+    name = F.concat_ws("_", F.when(F.col("event_id") % 2 == 0, "gen").otherwise("rev"), *(F.col(c).cast("string") for c in ("region_id", "term", "idx")))
+    return snapshots.names(rows.select(name.alias("name"), F.col("event_id").alias("mtime"), "size"))
+
+
+@query(f", {_FILES} SELECT name, row_number() OVER (ORDER BY region_id, term, idx, is_sending) AS place FROM files")
+def q_snapshot_idle_order(spark, sf_dir):
+    return snapshots.idle_order(_files(spark, sf_dir)).select("name", "place")
+
+
+@query(f", {_FILES} SELECT name FROM (SELECT name, coalesce(sum(size) OVER (ORDER BY mtime, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM files WHERE is_sending) WHERE (SELECT sum(size) FROM files) - freed > 9000")
+def q_snapshot_evict_oldest(spark, sf_dir):
+    return snapshots.evict_oldest(_files(spark, sf_dir), 9000)
+
+
+@query(f""", {_FILES} SELECT name, why FROM (SELECT name, CASE WHEN is_sending AND (term < 2 OR idx < 300) THEN 'compacted' WHEN is_sending AND 10000 - mtime > 4000 THEN 'expired'
+WHEN NOT is_sending AND term <= 2 AND (idx < 300 OR (idx = 300 AND region_id % 2 = 0)) THEN 'applied' END AS why FROM files) WHERE why IS NOT NULL""")
+def q_snapshot_gc(spark, sf_dir):
+    state = T.regions(spark, sf_dir).select("region_id", F.lit(300).alias("truncated_idx"), F.lit(2).alias("truncated_term"), (F.col("region_id") % 2 == 1).alias("applying"))
+    return snapshots.collectable(_files(spark, sf_dir), state, 10_000, 4000)
+
+
+@query()
+def q_value_crc32(spark, sf_dir):
+    """Checksum and size of each event's properties, as of a file's content."""
+    return T.events(spark, sf_dir).select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc"), F.octet_length("props").cast("long").alias("n_bytes"))
+
+
+# -- cluster --------------------------------------------------------------------------------
+
+_PEERS = """peers AS (SELECT region_id, event_id % 5 + 1 AS peer_id, max(idx) - (event_id % 5) * 300 AS matched, max(event_id) - (event_id % 5) * 1000 AS seen, CAST(600 AS BIGINT) AS truncated, max(max(idx)) OVER (PARTITION BY region_id) AS last_idx, region_id % 4 = 1 AND event_id % 5 = 2 AS snapshotting
+FROM log GROUP BY region_id, event_id % 5)"""
+
+
+def _peers(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = T.log(spark, sf_dir).groupBy("region_id", (F.col("event_id") % 5).alias("p")).agg(F.max("idx").alias("m"), F.max("event_id").alias("e"))
+    last = F.max("m").over(Window.partitionBy("region_id"))
+    snap = (F.col("region_id") % 4 == 1) & (F.col("p") == 2)
+    return rows.select("region_id", (F.col("p") + 1).alias("peer_id"), (F.col("m") - F.col("p") * 300).alias("matched"), (F.col("e") - F.col("p") * 1000).alias("seen"), F.lit(600).cast("long").alias("truncated"), last.alias("last_idx"), snap.alias("snapshotting"))
+
+
+@query(f", {_PEERS} SELECT region_id, min(matched) AS min_matched FROM peers GROUP BY 1")
+def q_min_progress(spark, sf_dir):
+    return cluster.min_progress(_peers(spark, sf_dir))
+
+
+@query(f", {_PEERS} SELECT region_id, count(*) AS n_peers, CAST(sum(CASE WHEN matched >= truncated THEN 1 ELSE 0 END) AS BIGINT) AS n_healthy, sum(CASE WHEN matched >= truncated THEN 1 ELSE 0 END) >= count(*) // 2 + 1 AS has_quorum FROM peers GROUP BY 1")
+def q_quorum_health(spark, sf_dir):
+    return cluster.health(_peers(spark, sf_dir))
+
+
+@query(f", {_PEERS} SELECT region_id, peer_id, 10000 - seen AS silent FROM peers WHERE 10000 - seen > 2000")
+def q_down_peers(spark, sf_dir):
+    return cluster.down(_peers(spark, sf_dir), 10_000, 2000)
+
+
+@query(f", {_PEERS} SELECT region_id, peer_id FROM peers WHERE matched < truncated")
+def q_pending_peers(spark, sf_dir):
+    return cluster.pending(_peers(spark, sf_dir))
+
+
+@query(f", {_PEERS} SELECT region_id, peer_id FROM peers p WHERE last_idx <= matched + 10 AND NOT EXISTS (SELECT 1 FROM peers q WHERE q.region_id = p.region_id AND q.snapshotting)")
+def q_leader_transfer(spark, sf_dir):
+    return cluster.leader_candidates(_peers(spark, sf_dir), 10)
+
+
+_REPORTS = 'reports AS (SELECT region_id, idx // 100 AS "at", max(c) AS n_bytes, max(idx) AS n_keys FROM (SELECT region_id, idx, CAST(sum(size) OVER (PARTITION BY region_id ORDER BY idx) AS BIGINT) AS c FROM log) GROUP BY 1, 2)'
+
+
+@query(f', {_REPORTS} SELECT region_id, "at", n_bytes - coalesce(lag(n_bytes) OVER w, 0) AS d_n_bytes, n_keys - coalesce(lag(n_keys) OVER w, 0) AS d_n_keys FROM reports WINDOW w AS (PARTITION BY region_id ORDER BY "at")')
+def q_flow_delta(spark, sf_dir):
+    from pyspark.sql import Window
+
+    total = F.sum("size").over(Window.partitionBy("region_id").orderBy("idx"))
+    rows = T.log(spark, sf_dir).select("region_id", "idx", total.alias("c"), F.floor(F.col("idx") / 100).alias("at"))
+    return cluster.flow_deltas(rows.groupBy("region_id", "at").agg(F.max("c").alias("n_bytes"), F.max("idx").alias("n_keys")))
+
+
+@query("SELECT coalesce(region_id, -1) AS region_id, CAST(sum(size) AS BIGINT) AS n_bytes, count(*) AS n_keys FROM mutations GROUP BY ROLLUP (region_id)")
+def q_flow_rollup(spark, sf_dir):
+    return cluster.flow_totals(T.mutations(spark, sf_dir))
+
+
+@query(""", asked AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN ['Get'] WHEN 1 THEN ['Put', 'Delete'] WHEN 2 THEN ['Get', 'Put'] WHEN 3 THEN ['Snap', 'Get'] WHEN 4 THEN ['Prewrite'] ELSE [] END AS cmds,
+CASE WHEN event_id % 11 = 0 THEN 'ChangePeer' WHEN event_id % 11 = 1 THEN 'TransferLeader' WHEN event_id % 11 = 2 THEN 'CompactLog' END AS admin FROM events)
+SELECT event_id, CASE WHEN admin = 'ChangePeer' THEN 'conf-change' WHEN admin = 'TransferLeader' THEN 'transfer-leader' WHEN admin IS NOT NULL THEN 'propose' WHEN list_contains(cmds, 'Prewrite') THEN 'invalid'
+WHEN list_has_any(cmds, ['Get', 'Snap']) AND list_has_any(cmds, ['Put', 'Delete']) THEN 'invalid' WHEN list_has_any(cmds, ['Put', 'Delete']) THEN 'propose'
+WHEN event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0 THEN 'read-index' ELSE 'read-local' END AS policy FROM asked""")
+def q_request_policy(spark, sf_dir):
+    n = F.col("event_id")
+    lists = {0: ["Get"], 1: ["Put", "Delete"], 2: ["Get", "Put"], 3: ["Snap", "Get"], 4: ["Prewrite"]}
+    commands = F.array().cast("array<string>")
+    for k, names in lists.items():
+        commands = F.when(n % 8 == k, F.array(*map(F.lit, names))).otherwise(commands)
+    admin = F.when(n % 11 == 0, "ChangePeer").when(n % 11 == 1, "TransferLeader").when(n % 11 == 2, "CompactLog")
+    rows = T.events(spark, sf_dir).select("event_id", commands.alias("commands"), admin.alias("admin"))
+    lease = F.when(n % 7 == 0, "expired").otherwise("valid")
+    return rows.select("event_id", cluster.policy(F.col("commands"), F.col("admin"), n % 3 == 0, n % 5 != 0, lease).alias("policy"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'peer-mismatch' WHEN event_id % 4 <> 0 AND 3 > event_id % 4 + 1 THEN 'stale-command' WHEN 1 + event_id % 3 <> 1 + region_id % 3 THEN 'epoch-mismatch' WHEN event_id % 5 = 0 THEN 'expired' ELSE 'ok' END AS verdict FROM mutations""")
+def q_read_check(spark, sf_dir):
+    n = F.col("event_id")
+    peer = F.when(n % 9 == 0, 2).otherwise(1)
+    applied = F.when(n % 5 == 0, 2).otherwise(3)
+    verdict = cluster.read_check(peer, F.lit(1), n % 4, F.lit(3), 1 + n % 3, F.col("version"), applied)
+    return T.mutations(spark, sf_dir).join(T.regions(spark, sf_dir).select("region_id", "version"), "region_id").select("event_id", verdict.alias("verdict"))
+
+
+@query("""SELECT peer_id, session, min("at") AS first_at, count(*) AS n_reads FROM (SELECT peer_id, "at", CAST(sum(new) OVER (PARTITION BY peer_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session
+FROM (SELECT user_id AS peer_id, event_id AS "at", CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 100 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY 1, 2""", with_="")
+def q_read_coalescing(spark, sf_dir):
+    return cluster.sessions(T.events(spark, sf_dir).select(F.col("user_id").alias("peer_id"), F.col("event_id").alias("at")), 100)
+
+
+@query("SELECT r.region_id, coalesce(s.n_bytes, 0) AS n_bytes, coalesce(s.n_keys, 0) AS n_keys FROM regions r LEFT JOIN (SELECT region_id, CAST(sum(size) AS BIGINT) AS n_bytes, count(*) AS n_keys FROM mutations WHERE op = 'L' AND region_id % 2 = 0 GROUP BY 1) s ON s.region_id = r.region_id")
+def q_heartbeat_stats(spark, sf_dir):
+    stats = T.mutations(spark, sf_dir).where("op = 'L' AND region_id % 2 = 0").groupBy("region_id").agg(F.sum("size").alias("n_bytes"), F.count("*").alias("n_keys"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return T.regions(spark, sf_dir).select("region_id").join(stats, "region_id", "left").select("region_id", zero("n_bytes"), zero("n_keys"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN region_id % 3 <> 1 THEN 'region-' || region_id END, 'store') AS target FROM mutations")
+def q_message_routing(spark, sf_dir):
+    here = T.regions(spark, sf_dir).where("region_id % 3 <> 1").select("region_id", F.concat(F.lit("region-"), F.col("region_id").cast("string")).alias("target"))
+    return T.mutations(spark, sf_dir).join(here, "region_id", "left").select("event_id", F.coalesce("target", F.lit("store")).alias("target"))
+
+
+@query("SELECT region_id, least(CAST(sum(size) AS BIGINT), 150000) AS used, greatest(150000 - CAST(sum(size) AS BIGINT), 0) AS available FROM mutations GROUP BY 1")
+def q_store_capacity(spark, sf_dir):
+    used, cap = F.sum("size"), F.lit(150_000).cast("long")
+    return T.mutations(spark, sf_dir).groupBy("region_id").agg(F.least(used, cap).alias("used"), F.greatest(cap - used, F.lit(0).cast("long")).alias("available"))
+
+
+@query()
+def q_consistency_hash(spark, sf_dir):
+    return cluster.content_hash(T.mutations(spark, sf_dir))
