@@ -2,7 +2,7 @@
 
 Each round halves the number of components that still have links at least; pointers are followed
 by doubling.  Every table is written, so no plan grows with the rounds, and nothing but counts
-comes to the driver.
+comes to the driver.  Joins with the pointers are broadcast while they are few, else shuffled.
 """
 
 from __future__ import annotations
@@ -10,33 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, bounded
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """links: (a, b), any order, loops allowed.  (id, component) of each vertex that has a link; the component is its smallest id."""
-    edges = scratch.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges0")
+    edges = links.where("a <> b").select("a", "b")
     whole = None
     step = 0
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), f"{name}-p{step}")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+        both = edges.select(ends.alias("e")).groupBy("e.id").agg(F.min("e.other").alias("other"))
+        parent = scratch.write(both.select("id", F.least("id", "other").alias("component")), f"{name}-p{step}")
         hop = 0
         while True:
-            top = parent.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            top = bounded(parent.select(F.col("id").alias("component"), F.col("component").alias("top")))
             jumped = scratch.write(parent.join(top, "component").select("id", F.col("top").alias("component"), (F.col("top") < F.col("component")).alias("moved")), f"{name}-p{step}-{hop}")
-            moved = jumped.where("moved").limit(1).count()
             parent = jumped.select("id", "component")
-            if not moved:
+            if jumped.where("moved").isEmpty():
                 break
             hop += 1
         if whole is None:
             whole = parent
         else:
-            above = parent.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            above = bounded(parent.select(F.col("id").alias("component"), F.col("component").alias("top")))
             whole = scratch.write(whole.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component")), f"{name}-w{step}")
-        a, b = parent.select(F.col("id").alias("a"), F.col("component").alias("ra")), parent.select(F.col("id").alias("b"), F.col("component").alias("rb"))
-        edges = scratch.write(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges{step + 1}")
+        a, b = (bounded(parent.select(F.col("id").alias(c), F.col("component").alias(f"r{c}"))) for c in "ab")
+        edges = scratch.write(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"{name}-edges{step}")
         if edges.isEmpty():
             return whole
         step += 1

@@ -169,13 +169,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, step: int) -
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
-            ok = pa.array(ok, pa.bool_())
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            ok = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     left, right = sets.select(F.col("id").alias("a"), F.col("content").alias("x")), sets.select(F.col("id").alias("b"), F.col("content").alias("y"))
@@ -189,17 +184,31 @@ def _star(nodes: DataFrame, seed: int) -> DataFrame:
     return nodes.join(pivots, "node").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def _by_node(rows: DataFrame, of: str, schema: str):
+def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
     """Runs a module function over the classes of one small node after the other."""
 
     def run(batches):
         for node in _groups(batches):
-            yield from _WORK[of](node)
+            yield from work(node)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, schema)
 
 
+_CLOSE = "node long, id long, component long, n long, tokens binary"
+
+
+def _node_links(few: DataFrame, docs: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+    """Links that join components within small nodes (node, id, component, n, tokens).
+
+    First the tokens say which classes of a node have a candidate in another component; only those meet
+    again with their full sets.  A node gives a link where two of its components join, not each pair.
+    """
+    close = scratch.write(_by_node(few.select("node", "id", "component", "n", "tokens"), close_classes, _CLOSE), f"close{step}")
+    sets = _sets(docs, scratch.write(close.select("id").distinct(), f"close-ids{step}"))
+    return _by_node(close.join(sets, "id"), joining_links, "a long, b long")
+
+
 def _groups(batches) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     last = None
@@ -217,24 +226,59 @@ def _groups(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compare(node: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Agreeing pairs of classes in different components (``side``: only pairs of both sides, in block nodes)."""
-    ids, comp, n = (node.column(c).to_numpy() for c in ("id", "component", "n"))
+def _candidates(node: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class outside the largest component with the classes of other components that its tokens agree with."""
+    comp, n = (node.column(c).to_numpy() for c in ("component", "n"))
     tokens = _matrix(node.column("tokens").combine_chunks())
     names, count = np.unique(comp, return_counts=True)
-    alone = np.flatnonzero(comp != names[count.argmax()])  # each pair has one of these
-    a, b = [], []
-    for i in alone.tolist():
+    for i in np.flatnonzero(comp != names[count.argmax()]).tolist():  # each pair has one of these
         ok = (tokens == tokens[i]).sum(1) >= AGREE
         ok &= (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-        for j in np.flatnonzero(ok).tolist():
-            a.append(min(ids[i], ids[j]))
-            b.append(max(ids[i], ids[j]))
+        yield i, np.flatnonzero(ok)
+
+
+def close_classes(node: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of classes that have a candidate."""
+    hit = np.zeros(len(node), bool)
+    for i, others in _candidates(node):
+        if len(others):
+            hit[i] = True
+            hit[others] = True
+    if hit.any():
+        yield from node.filter(pa.array(hit)).to_batches()
+
+
+def joining_links(node: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Candidates confirmed on full sets, as long as they join components that are apart yet."""
+    ids = node.column("id").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in node.column("content").to_pylist()]
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    comp, a, b = node.column("component").to_pylist(), [], []
+    for i, others in _candidates(node):
+        for j in others.tolist():
+            p, q = find(comp[i]), find(comp[j])
+            if p != q and linked(sets[i], sets[j]):
+                top[max(p, q)] = min(p, q)
+                a.append(ids[i])
+                b.append(ids[j])
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-_WORK = {"compare": _compare}
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union of two sorted sets."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -273,39 +317,41 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     once = scratch.write(shared.groupBy("size", "pivot", "print").agg(F.min("node").alias("node")).select("node"), "roots")
     frontier = scratch.write(nodes.join(once, "node").distinct(), "nodes0")
 
-    links = None
-    groups = None
-    pairs = _star(frontier, 0)
+    links = groups = few = None
+    star: DataFrame | None = _star(frontier, 0)
     for step in range(DEPTH + 2):
-        found = scratch.write(_agreeing(pairs, tokens), f"pairs{step}")
-        found = scratch.write(_confirmed(found, docs, scratch, step), f"links{step}")
-        links = found if links is None else links.unionByName(found)
+        found = []
+        if star is not None:
+            found.append(_confirmed(scratch.write(_agreeing(star, tokens), f"pairs{step}"), docs, scratch, step))
+        if few is not None:
+            found.append(_node_links(few, docs, scratch, step))
+        new = scratch.write(found[0].unionByName(found[1]) if len(found) > 1 else found[0], f"links{step}")
+        links = new if links is None else links.unionByName(new)
         groups = components(links, scratch, f"components{step}")
         if frontier is None:
             break
-        mark = frontier.join(groups, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+        mark = frontier.join(bounded(groups), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
         mark = scratch.write(mark, f"marked{step}")
         parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"))
         mixed = parts.groupBy("node").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")).where("cross > 0")
-        mixed = scratch.write(mark.join(mixed, "node").join(tokens, "id"), f"mixed{step}")
-        large = mixed.where(F.col("cross") > CROSS)
-        few = mixed.where(F.col("cross") <= CROSS)
-        more = not large.isEmpty()
-        if more and step == DEPTH:
-            few, more = few.unionByName(_blocks(large)), False
-        pairs = _by_node(few.select("node", "id", "component", "n", "tokens"), "compare", "a long, b long")
-        if more:
-            pairs = pairs.unionByName(_star(large.select("node", "id"), step + 1))
-            frontier = _branch(large)
-            alive = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
-            frontier = scratch.write(frontier.join(alive, "node"), f"nodes{step + 1}")
-        else:
-            frontier = None
-        pairs = pairs.distinct()
+        mixed = scratch.write(mixed, f"mixed{step}")
+        sizes = mixed.agg(F.count("*").alias("all"), F.coalesce(F.max("cross"), F.lit(0.0)).alias("most")).head()
+        if not sizes["all"]:
+            break
+        rows_ = scratch.write(mark.join(bounded(mixed), "node").join(tokens, "id"), f"members{step}")
+        few, large = rows_.where(F.col("cross") <= CROSS), rows_.where(F.col("cross") > CROSS)
+        star = frontier = None
+        if sizes["most"] > CROSS and step == DEPTH:
+            few = few.unionByName(_blocks(large))
+        elif sizes["most"] > CROSS:
+            star = _star(large.select("node", "id"), step + 1)
+            children = _branch(large)
+            alive = children.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
+            frontier = scratch.write(children.join(alive, "node"), f"nodes{step + 1}")
 
     named = rows.join(same.withColumnRenamed("id", "class"), ["h", "g", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class"))
     top = groups.withColumnRenamed("id", "class")
-    named = named.join(top, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
+    named = named.join(bounded(top), "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
