@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 #: Parameters of the queries: keys, times and limits.
 KEY, LOW, HIGH, AT = "t0000000042", "t0000000010", "t0000000030", 50_000
-BIG = F.col("size")
+BIG = "size"
 
 
 def query(sql: str | None = None, with_: str = T.SQL):
@@ -109,7 +109,7 @@ def _locks(rows: DataFrame) -> DataFrame:
 
 @query("SELECT 'lock' AS cf, k, start_ts FROM mutations WHERE op <> 'R' UNION ALL SELECT 'default', k, start_ts FROM mutations WHERE op <> 'R' AND size > 64")
 def q_prewrite_rows(spark, sf_dir):
-    return versions.prewrites(T.mutations(spark, sf_dir), BIG)
+    return versions.prewrites(T.mutations(spark, sf_dir), F.col(BIG))
 
 
 @query("""SELECT k, start_ts, commit_ts, op, CASE WHEN op <> 'L' THEN 'write' WHEN event_id % 3 = 0 THEN 'none' ELSE 'status' END AS made
@@ -386,7 +386,7 @@ UNION ALL SELECT 'lock', k, start_ts, start_ts, op, value FROM mutations WHERE o
 
 
 def _families(spark, sf_dir) -> DataFrame:
-    return snapshots.export(T.mutations(spark, sf_dir).where("NOT (op = 'P' AND event_id % 7 = 0)"), _open(spark, sf_dir), BIG)
+    return snapshots.export(T.mutations(spark, sf_dir).where("NOT (op = 'P' AND event_id % 7 = 0)"), _open(spark, sf_dir), F.col(BIG))
 
 
 @query(_FAMILIES + " SELECT cf, k, ts, start_ts, op, value FROM families")
