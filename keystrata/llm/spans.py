@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .storage import Scratch, bounded
+from .storage import Scratch
 
 WORDS = 20
 #: Each match looks at white space or a CJK stop only, so that no text takes more than linear time.
@@ -98,7 +98,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> Da
     first = scratch.write(first, "repeated")
     later = table.join(first, ["h", "g"]).where("doc_id > first").select("doc_id", "h")
     gone = scratch.write(later.groupBy("doc_id").agg(F.collect_set("h").alias(_GONE)), "later")
-    both = docs.join(bounded(gone, 50_000), docs["doc_id"].cast("long") == gone["doc_id"], "left").select(*(docs[c] for c in docs.columns), gone[_GONE])
+    both = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left").select(*(docs[c] for c in docs.columns), gone[_GONE])
 
     def run(batches):
         for batch in batches:
