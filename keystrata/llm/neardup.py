@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "content"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(ids), "id", "left_semi").mapInArrow(run, "id long, content binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(ids, 1_000_000), "id", "left_semi").mapInArrow(run, "id long, content binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
