@@ -104,10 +104,10 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     belief = {}
     for p in patterns:  # to begin with: good if all pass, else bad in each way that a rule names
         against = [float(v == BAD) for v in p]
-        weight = [0.1 if any(against) else 0.9, *(0.9 * x / sum(against) if any(against) else 0.1 / rules for x in against)]
+        weight = [0.1 if any(against) else 1.0, *(0.9 * x / sum(against) if any(against) else 0.0 for x in against)]
         belief[p] = weight
     for _ in range(rounds):
-        shares = [(0.1 + sum(n * belief[p][k] for p, n in patterns.items())) / (total + 0.1 * (rules + 1)) for k in range(rules + 1)]
+        shares = [(1e-6 + sum(n * belief[p][k] for p, n in patterns.items())) / (total + 1e-6 * (rules + 1)) for k in range(rules + 1)]
         rates = []
         for k in range(rules + 1):
             mass = [[0.05, 0.05] for _ in range(rules)]
