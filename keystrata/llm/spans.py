@@ -1,7 +1,9 @@
 """Repeated passages: hash every run of consecutive sentences and remove the later copies.
 
 A text is cut into sentences after ``.``, ``!``, ``?`` or an ellipsis before white space, after
-their CJK forms and at line ends; the sentences with the white space after them tile the text.
+their CJK forms and at line ends; clauses (``,``, ``;``, ``:``) count as sentences too, so that a
+passage set into the middle of another sentence meets its copies after its first clause.  The
+pieces with the white space after them tile the text.
 A run is several consecutive sentences, as few as hold ``WORDS`` words: the one that starts at
 each sentence and the one that ends at each; a sentence that has so many words is a run by
 itself.  So every whole sentence of a passage with that many words lies in a run inside it.
@@ -32,7 +34,7 @@ from .storage import Scratch
 
 WORDS = 20
 #: Each match looks at white space or a CJK stop only, so that no text takes more than linear time.
-_CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])(?![。！？])|\n\s*")
+_CUT = re.compile(r"(?<=[.!?…,;:])\s+|(?<=[。！？，；：])(?![。！？，；：])|\n\s*")
 _GONE = "removed_run_hashes"
 
 
