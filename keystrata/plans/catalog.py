@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import cluster, logs, ranges, snapshots, versions
+from ..operators import cluster, logs, members, ranges, snapshots, versions
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,9 +192,9 @@ def _state(spark, sf_dir) -> DataFrame:
 
 @query(f""", {_STATE}, chosen AS (SELECT *, CASE WHEN (applied_idx > first_idx AND applied_idx - first_idx >= 1700) OR log_size >= 110000 THEN applied_idx
 WHEN replicated_idx >= first_idx AND replicated_idx - first_idx > 50 THEN replicated_idx END - 1 AS c FROM state)
-SELECT region_id, CASE WHEN c >= first_idx THEN c END AS compact_idx FROM chosen""")
+SELECT region_id, CASE WHEN c >= first_idx THEN c ELSE -1 END AS compact_idx FROM chosen""")
 def q_log_compact_decision(spark, sf_dir):
-    return logs.compaction(_state(spark, sf_dir), 1700, 110_000, 50)
+    return logs.compaction(_state(spark, sf_dir), 1700, 110_000, 50).fillna(-1)
 
 
 @query(f", {_STATE} SELECT region_id, CAST(floor(log_size * (CAST(applied_idx - first_idx AS DOUBLE) / applied_idx)) AS BIGINT) AS size_left FROM state")
@@ -275,9 +275,9 @@ def q_range_coverage(spark, sf_dir):
     return ranges.coverage(regions.where("region_id % 4 <> 3"), wanted)
 
 
-@query("SELECT region_id, lag(region_id) OVER (ORDER BY start_key) AS left_id, lead(region_id) OVER (ORDER BY start_key) AS right_id FROM regions")
+@query("SELECT region_id, coalesce(lag(region_id) OVER (ORDER BY start_key), -1) AS left_id, coalesce(lead(region_id) OVER (ORDER BY start_key), -1) AS right_id FROM regions")
 def q_region_sibling(spark, sf_dir):
-    return ranges.siblings(T.regions(spark, sf_dir))
+    return ranges.siblings(T.regions(spark, sf_dir)).fillna(-1)
 
 
 def _claims(spark, sf_dir) -> DataFrame:
@@ -547,3 +547,103 @@ def q_store_capacity(spark, sf_dir):
 @query()
 def q_consistency_hash(spark, sf_dir):
     return cluster.content_hash(T.mutations(spark, sf_dir))
+
+
+# -- membership, messages, leases -----------------------------------------------------------
+
+
+def _with_peers(spark, sf_dir) -> DataFrame:
+    n = F.col("region_id")
+    return T.regions(spark, sf_dir).withColumn("peers", F.array(n + 1, n + 2, n + 3))
+
+
+@query("""SELECT region_id, CASE WHEN region_id % 4 = 0 THEN 'duplicate' WHEN region_id % 4 = 1 THEN 'missing' ELSE 'ok' END AS outcome,
+CASE region_id % 4 WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 3 END AS n_peers, conf_version + CASE WHEN region_id % 4 >= 2 THEN 1 ELSE 0 END AS conf_version FROM regions""")
+def q_change_peers(spark, sf_dir):
+    n = F.col("region_id")
+    changes = T.regions(spark, sf_dir).select("region_id", F.when(n % 4 % 2 == 0, "add").otherwise("remove").alias("kind"), F.when(n % 4 == 0, n + 1).when(n % 4 == 3, n + 2).otherwise(n + 9).alias("peer_id"))
+    out = members.change_peers(_with_peers(spark, sf_dir), changes)
+    return out.select("region_id", "outcome", F.size("peers").alias("n_peers"), "conf_version")
+
+
+@query("""SELECT region_id, CASE WHEN start_key < 't0000000060' AND (end_key = '' OR end_key > 't0000000030') THEN 'drained' WHEN region_id % 2 = 0 THEN 'expired' ELSE 'pending' END AS state FROM regions""")
+def q_pending_ranges(spark, sf_dir):
+    pending = T.regions(spark, sf_dir).withColumn("timeout", F.col("region_id") % 2)
+    return members.drained(pending, "t0000000030", "t0000000060", 1)
+
+
+@query("""SELECT event_id, CASE WHEN region_id % 5 = 4 THEN 'to-store' WHEN event_id % 3 < 1 + region_id % 3 AND event_id % 4 = 0 THEN 'stale'
+WHEN event_id % 5 < 2 OR (event_id % 5 = 2 AND event_id % 2 = 0) THEN 'initial' ELSE 'step' END AS act FROM mutations""")
+def q_message_checks(spark, sf_dir):
+    n = F.col("event_id")
+    kind = F.when(n % 5 == 0, "vote").when(n % 5 == 1, "prevote").when(n % 5 == 2, "heartbeat").otherwise("append")
+    sender = F.when(n % 4 == 0, 0).otherwise(F.col("region_id") + n % 4)
+    messages = T.mutations(spark, sf_dir).select("event_id", "region_id", kind.alias("kind"), (n % 2).alias("commit"), sender.alias("sender"), (n % 3).alias("version"))
+    return members.message_checks(messages, _with_peers(spark, sf_dir).where("region_id % 5 <> 4"))
+
+
+@query("SELECT region_id, idx, idx >= 300 AND 1 + idx % 2 >= 1 + region_id % 2 AS valid FROM log WHERE event_id % 10 = 3")
+def q_snapshot_validity(spark, sf_dir):
+    rows = T.log(spark, sf_dir).where("event_id % 10 = 3").join(T.regions(spark, sf_dir).select("region_id", "conf_version"), "region_id")
+    return rows.select("region_id", "idx", members.snapshot_valid(F.col("idx"), 1 + F.col("idx") % 2, F.lit(300), F.col("conf_version")).alias("valid"))
+
+
+@query("""SELECT count(*) FILTER (WHERE o) AS n_sending, count(*) FILTER (WHERE i) AS n_receiving FROM
+(SELECT user_id, bool_or(event_id % 7 < 2) AS o, bool_or(event_id % 7 IN (2, 3)) AS i FROM mutations WHERE event_id % 31 = 0 GROUP BY user_id)""")
+def q_snapshot_registry(spark, sf_dir):
+    m = F.col("event_id") % 7
+    state = F.when(m == 0, "generating").when(m == 1, "sending").when(m == 2, "receiving").when(m == 3, "applying").otherwise("idle")
+    return members.registry(T.mutations(spark, sf_dir).where("event_id % 31 = 0").select(F.col("user_id").alias("name"), state.alias("state")))
+
+
+@query(f", {_PEERS} SELECT region_id, least(min(matched), max(last_idx)) AS replicated_idx, coalesce(min(CASE WHEN seen > 7500 AND matched >= truncated THEN matched END), max(last_idx)) AS alive_idx FROM peers GROUP BY 1")
+def q_progress_indexes(spark, sf_dir):
+    return members.progress_indexes(_peers(spark, sf_dir), 7500)
+
+
+@query("SELECT region_id, idx, term, CASE WHEN idx % 3 <> 0 THEN event_id ELSE -1 END AS proposed_at FROM log WHERE idx % 2 = 0")
+def q_proposal_times(spark, sf_dir):
+    rows = T.log(spark, sf_dir)
+    sent = rows.select("region_id", "idx", F.when(F.col("idx") % 3 == 0, F.col("term") - 1).otherwise(F.col("term")).alias("term"), F.col("event_id").alias("proposed_at"))
+    return members.proposal_times(rows.where("idx % 2 = 0").select("region_id", "idx", "term"), sent).fillna(-1)
+
+
+@query("""SELECT region_id AS request_id, CASE region_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'not-rising' WHEN 2 THEN 'outside' ELSE 'empty' END AS verdict FROM regions""")
+def q_split_validation(spark, sf_dir):
+    n = F.col("region_id")
+    key = lambda d: T.key_of(n * 25 + d)
+    cuts = F.when(n % 4 == 0, F.array(key(3), key(7))).when(n % 4 == 1, F.array(key(7), key(7))).when(n % 4 == 2, F.array(key(0), key(7))).otherwise(F.array().cast("array<string>"))
+    regions = T.regions(spark, sf_dir)
+    return members.split_requests(regions.select(n.alias("request_id"), "region_id", cuts.alias("cuts")), regions)
+
+
+@query("SELECT user_id AS peer_id, CASE WHEN max(event_id) + 500 - 10000 <= 0 THEN 'expired' WHEN (max(event_id) + 500 - 10000) * 10 < 500 THEN 'suspect' ELSE 'valid' END AS lease FROM events GROUP BY 1", with_="")
+def q_leases(spark, sf_dir):
+    return members.leases(T.events(spark, sf_dir).select(F.col("user_id").alias("peer_id"), F.col("event_id").alias("at")), 10_000, 500)
+
+
+@query(""", parts AS (SELECT region_id AS part, CAST(sum(size) AS BIGINT) AS size FROM mutations WHERE region_id % 3 <> 2 GROUP BY 1),
+spans AS (SELECT part, size, CAST(sum(size) OVER (ORDER BY part) AS BIGINT) AS e FROM parts), cut AS (SELECT part, e - size AS b, e, unnest(range((e - size) // 50000, (e - 1) // 50000 + 1)) AS chunk FROM spans)
+SELECT part, chunk, greatest(b, chunk * 50000) - b AS from_byte, least(e, (chunk + 1) * 50000) - greatest(b, chunk * 50000) AS n_bytes FROM cut""")
+def q_stream_pieces(spark, sf_dir):
+    parts = T.mutations(spark, sf_dir).where("region_id % 3 <> 2").groupBy(F.col("region_id").alias("part")).agg(F.sum("size").alias("size"))
+    return members.stream_pieces(parts, 50_000)
+
+
+@query("SELECT region_id, count(*) AS n_entries, CAST(sum(length(k)) AS BIGINT) AS key_bytes, CAST(sum(size) AS BIGINT) AS value_bytes, count(*) FILTER (WHERE op = 'D') AS n_deletes, min(k) AS first_key, max(k) AS last_key FROM mutations GROUP BY 1")
+def q_table_statistics(spark, sf_dir):
+    agg = (F.count("*").alias("n_entries"), F.sum(F.length("k")).cast("long").alias("key_bytes"), F.sum("size").alias("value_bytes"), F.count_if(F.col("op") == "D").alias("n_deletes"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    return T.mutations(spark, sf_dir).groupBy("region_id").agg(*agg)
+
+
+@query("SELECT region_id, arg_min(event_id, size * 100000 + event_id) AS event_id, min(size) AS size FROM mutations GROUP BY 1")
+def q_oldest_check(spark, sf_dir):
+    """The region row that a round of checks takes next: the least checked, then the first."""
+    return T.mutations(spark, sf_dir).groupBy("region_id").agg(F.min_by("event_id", F.struct("size", "event_id")).alias("event_id"), F.min("size").alias("size"))
+
+
+@query("""SELECT event_type AS kind, CASE event_type WHEN 'click' THEN 'not-leader' WHEN 'view' THEN 'epoch-not-match' WHEN 'purchase' THEN 'server-is-busy' ELSE 'other' END AS wire, count(*) AS n FROM events GROUP BY 1""", with_="")
+def q_error_kinds(spark, sf_dir):
+    kind = F.col("kind")
+    wire = F.when(kind == "click", "not-leader").when(kind == "view", "epoch-not-match").when(kind == "purchase", "server-is-busy").otherwise("other")
+    return T.events(spark, sf_dir).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")).select("kind", wire.alias("wire"), "n")
