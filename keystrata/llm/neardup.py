@@ -9,8 +9,8 @@ Equal sets are one class from the start.  A class has ``COORDINATES`` minwise to
 for the node: classes with the same token share a child, on average 1/0.75 children a class, so
 that a similar pair is expected to share a path at every depth while others part quickly.  Nodes
 with one class end at once.  A node is then
-  - linked through a pivot: each class is compared with one of them, which joins a whole group of
-    near copies by as many links as it has classes;
+  - linked through a pivot at the root (large ones through a second one): each class is compared with
+    one of them, which joins a whole group of near copies by as many links as it has classes;
   - done, when all its classes are known to be in one component;
   - small, when few pairs lie in different components: those are all compared;
   - else branched further, by tokens drawn anew.
@@ -198,14 +198,26 @@ def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
 _CLOSE = "node long, id long, component long, n long, tokens binary"
 
 
-def _node_links(few: DataFrame, docs: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+def _apart(frontier: DataFrame, groups: DataFrame, tokens: DataFrame, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame, float | None]:
+    """Rows of nodes with classes in different components: of small nodes, of large ones, and the most such pairs in one node."""
+    mark = frontier.join(bounded(groups), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    mark = scratch.write(mark, f"marked{step}")
+    parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"))
+    cross = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
+    mixed = scratch.write(parts.groupBy("node").agg(cross.alias("cross")).where("cross > 0"), f"mixed{step}")
+    most = mixed.agg(F.max("cross")).head()[0]
+    rows = scratch.write(mark.join(bounded(mixed), "node").join(tokens, "id"), f"members{step}") if most else mark
+    return (rows.where(F.col("cross") <= CROSS), rows.where(F.col("cross") > CROSS), most) if most else (rows, rows, None)
+
+
+def _node_links(few: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that join components within small nodes (node, id, component, n, tokens).
 
     First the tokens say which classes of a node have a candidate in another component; only those meet
     again with their full sets.  A node gives a link where two of its components join, not each pair.
     """
-    close = scratch.write(_by_node(few.select("node", "id", "component", "n", "tokens"), close_classes, _CLOSE), f"close{step}")
-    sets = _sets(docs, scratch.write(close.select("id").distinct(), f"close-ids{step}"))
+    close = scratch.write(_by_node(few.select("node", "id", "component", "n", "tokens"), close_classes, _CLOSE), "close")
+    sets = _sets(docs, scratch.write(close.select("id").distinct(), "close-ids"))
     return _by_node(close.join(sets, "id"), joining_links, "a long, b long")
 
 
@@ -317,37 +329,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     once = scratch.write(shared.groupBy("size", "pivot", "print").agg(F.min("node").alias("node")).select("node"), "roots")
     frontier = scratch.write(nodes.join(once, "node").distinct(), "nodes0")
 
-    links = groups = few = None
-    star: DataFrame | None = _star(frontier, 0)
-    for step in range(DEPTH + 2):
-        found = []
-        if star is not None:
-            found.append(_confirmed(scratch.write(_agreeing(star, tokens), f"pairs{step}"), docs, scratch, step))
-        if few is not None:
-            found.append(_node_links(few, docs, scratch, step))
-        new = scratch.write(found[0].unionByName(found[1]) if len(found) > 1 else found[0], f"links{step}")
-        links = new if links is None else links.unionByName(new)
-        groups = components(links, scratch, f"components{step}")
-        if frontier is None:
+    # Pivots first: they join whole groups of near copies.
+    links = _confirmed(scratch.write(_agreeing(_star(frontier, 0), tokens), "pairs0"), docs, scratch, 0)
+    links = scratch.write(links, "links0")
+    groups = components(links, scratch, "components0")
+    small: list[DataFrame] = []
+    for step in range(DEPTH + 1):
+        few, large, most = _apart(frontier, groups, tokens, scratch, step)
+        if most is None:
+            break
+        small.append(few)
+        if most <= CROSS:
             break
-        mark = frontier.join(bounded(groups), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-        mark = scratch.write(mark, f"marked{step}")
-        parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"))
-        mixed = parts.groupBy("node").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")).where("cross > 0")
-        mixed = scratch.write(mixed, f"mixed{step}")
-        sizes = mixed.agg(F.count("*").alias("all"), F.coalesce(F.max("cross"), F.lit(0.0)).alias("most")).head()
-        if not sizes["all"]:
+        if step == DEPTH:
+            small.append(_blocks(large))
             break
-        rows_ = scratch.write(mark.join(bounded(mixed), "node").join(tokens, "id"), f"members{step}")
-        few, large = rows_.where(F.col("cross") <= CROSS), rows_.where(F.col("cross") > CROSS)
-        star = frontier = None
-        if sizes["most"] > CROSS and step == DEPTH:
-            few = few.unionByName(_blocks(large))
-        elif sizes["most"] > CROSS:
-            star = _star(large.select("node", "id"), step + 1)
-            children = _branch(large)
-            alive = children.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
-            frontier = scratch.write(children.join(alive, "node"), f"nodes{step + 1}")
+        if step == 0:  # another pivot for nodes whose first one was the odd one out
+            more = _confirmed(scratch.write(_agreeing(_star(large.select("node", "id"), 1), tokens), "pairs1"), docs, scratch, 1)
+            links = links.unionByName(scratch.write(more, "links1"))
+            groups = components(links, scratch, "components1")
+        children = _branch(large)
+        alive = children.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
+        frontier = scratch.write(children.join(alive, "node"), f"nodes{step + 1}")
+    if small:
+        few = small[0]
+        for more in small[1:]:
+            few = few.unionByName(more.select(few.columns))
+        links = links.unionByName(scratch.write(_node_links(few, docs, scratch), "links-small"))
+        groups = components(links, scratch, "components-small")
 
     named = rows.join(same.withColumnRenamed("id", "class"), ["h", "g", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class"))
     top = groups.withColumnRenamed("id", "class")
