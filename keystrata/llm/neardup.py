@@ -198,16 +198,19 @@ def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
 _CLOSE = "node long, id long, component long, n long, tokens binary"
 
 
-def _apart(frontier: DataFrame, groups: DataFrame, tokens: DataFrame, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame, float | None]:
-    """Rows of nodes with classes in different components: of small nodes, of large ones, and the most such pairs in one node."""
-    mark = frontier.join(bounded(groups), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-    mark = scratch.write(mark, f"marked{step}")
+def _apart(mark: DataFrame, tokens: DataFrame | None, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame, float | None]:
+    """Rows of nodes (node, id, component) with classes in different components: of small nodes, of large ones, and the
+    most such pairs in one node.  ``tokens``: where the rows do not carry them yet."""
     parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"))
     cross = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
     mixed = scratch.write(parts.groupBy("node").agg(cross.alias("cross")).where("cross > 0"), f"mixed{step}")
     most = mixed.agg(F.max("cross")).head()[0]
-    rows = scratch.write(mark.join(bounded(mixed), "node").join(tokens, "id"), f"members{step}") if most else mark
-    return (rows.where(F.col("cross") <= CROSS), rows.where(F.col("cross") > CROSS), most) if most else (rows, rows, None)
+    if most is None:
+        return mark, mark, None
+    rows = mark.join(bounded(mixed), "node")
+    rows = rows.join(tokens, "id") if tokens is not None else rows
+    rows = scratch.write(rows.select("node", "id", "component", "n", "tokens", "cross"), f"members{step}")
+    return rows.where(F.col("cross") <= CROSS), rows.where(F.col("cross") > CROSS), most
 
 
 def _node_links(few: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -294,15 +297,15 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _branch(rows: DataFrame) -> DataFrame:
-    """rows (node, id, tokens) of large nodes: the same classes in their children."""
+    """Rows of large nodes (node, id, component, n, tokens): the same classes in their children."""
 
     def run(batches):
         for batch in batches:
             node, tokens = batch.column("node").to_numpy(zero_copy_only=False).copy(), _matrix(batch.column("tokens"))
             for rows_, child in minwise().children(node, tokens):
-                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("id").take(pa.array(rows_))], ["node", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(child), *batch.take(pa.array(rows_)).columns[1:]], batch.schema.names)
 
-    return rows.select("node", "id", "tokens").mapInArrow(run, "node long, id long")
+    return rows.select("node", "id", "component", "n", "tokens").mapInArrow(run, _CLOSE)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -333,9 +336,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     links = _confirmed(scratch.write(_agreeing(_star(frontier, 0), tokens), "pairs0"), docs, scratch, 0)
     links = scratch.write(links, "links0")
     groups = components(links, scratch, "components0")
+    name = lambda rows: rows.join(bounded(groups), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    frontier = scratch.write(name(frontier), "marked0")
     small: list[DataFrame] = []
     for step in range(DEPTH + 1):
-        few, large, most = _apart(frontier, groups, tokens, scratch, step)
+        few, large, most = _apart(frontier, None if step else tokens, scratch, step)
         if most is None:
             break
         small.append(few)
@@ -348,6 +353,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
             more = _confirmed(scratch.write(_agreeing(_star(large.select("node", "id"), 1), tokens), "pairs1"), docs, scratch, 1)
             links = links.unionByName(scratch.write(more, "links1"))
             groups = components(links, scratch, "components1")
+            large = name(large.drop("component"))
         children = _branch(large)
         alive = children.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
         frontier = scratch.write(children.join(alive, "node"), f"nodes{step + 1}")
