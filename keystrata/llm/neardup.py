@@ -19,7 +19,7 @@ dropped.  Comparisons look at the tokens first (a pair of similarity 0.75 agrees
 fewer than ``AGREE`` are out), then at the full sets.  At the root a pair of similarity 0.75
 misses all trees with probability below 0.25 ** 10.
 
-Groups never meet in one task: pivots are joined on, counts are partial aggregates.  Null or
+Groups never meet in one task: pivots and counts are partial aggregates.  Null or
 empty texts, or texts without words, have no shingles and stay alone.  Rows that repeat a doc_id
 are one vertex.  A null doc_id takes the component of a document with an equal set; without one
 its component_id is null and it is kept.
@@ -177,11 +177,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, step: int) -
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _star(nodes: DataFrame, seed: int) -> DataFrame:
-    """nodes (node, id): each class with its node's pivot, once.  The pivot is the smallest id, or one drawn by ``seed``."""
-    order = F.col("id") if seed == 0 else F.xxhash64("id", F.lit(seed))
-    pivots = nodes.groupBy("node").agg(F.min_by("id", order).alias("a"))
-    return nodes.join(pivots, "node").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _star(rows: DataFrame) -> DataFrame:
+    """rows (node, id, pivot): each class with its node's pivot, once."""
+    return rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -201,15 +199,17 @@ _CLOSE = "node long, id long, component long, n long, tokens binary"
 def _apart(mark: DataFrame, tokens: DataFrame | None, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame, float | None]:
     """Rows of nodes (node, id, component) with classes in different components: of small nodes, of large ones, and the
     most such pairs in one node.  ``tokens``: where the rows do not carry them yet."""
-    parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"))
+    drawn = lambda c: F.min(F.struct(F.xxhash64(c, F.lit(step)).alias("h"), F.col(c).alias("id")))
+    parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"), drawn("id").alias("p"))
     cross = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
-    mixed = scratch.write(parts.groupBy("node").agg(cross.alias("cross")).where("cross > 0"), f"mixed{step}")
+    mixed = parts.groupBy("node").agg(cross.alias("cross"), F.min("p")["id"].alias("pivot")).where("cross > 0")
+    mixed = scratch.write(mixed, f"mixed{step}")
     most = mixed.agg(F.max("cross")).head()[0]
     if most is None:
         return mark, mark, None
-    rows = mark.join(bounded(mixed), "node")
+    rows = mark.drop("pivot").join(bounded(mixed), "node")
     rows = rows.join(tokens, "id") if tokens is not None else rows
-    rows = scratch.write(rows.select("node", "id", "component", "n", "tokens", "cross"), f"members{step}")
+    rows = scratch.write(rows.select("node", "id", "component", "n", "tokens", "cross", "pivot"), f"members{step}")
     return rows.where(F.col("cross") <= CROSS), rows.where(F.col("cross") > CROSS), most
 
 
@@ -329,11 +329,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = classes.select("id", F.explode("roots").alias("node"))
     shared = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.expr("bit_xor(xxhash64(id))").alias("print")).where("size > 1")
     # Nodes of different trees with the same classes are one.
-    once = scratch.write(shared.groupBy("size", "pivot", "print").agg(F.min("node").alias("node")).select("node"), "roots")
-    frontier = scratch.write(nodes.join(once, "node").distinct(), "nodes0")
+    once = scratch.write(shared.groupBy("size", "pivot", "print").agg(F.min("node").alias("node")).select("node", "pivot"), "roots")
+    frontier = scratch.write(nodes.join(once, "node").distinct(), "nodes0")  # node, id, pivot
 
     # Pivots first: they join whole groups of near copies.
-    links = _confirmed(scratch.write(_agreeing(_star(frontier, 0), tokens), "pairs0"), docs, scratch, 0)
+    links = _confirmed(scratch.write(_agreeing(_star(frontier), tokens), "pairs0"), docs, scratch, 0)
     links = scratch.write(links, "links0")
     groups = components(links, scratch, "components0")
     name = lambda rows: rows.join(bounded(groups), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -350,13 +350,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
             small.append(_blocks(large))
             break
         if step == 0:  # another pivot for nodes whose first one was the odd one out
-            more = _confirmed(scratch.write(_agreeing(_star(large.select("node", "id"), 1), tokens), "pairs1"), docs, scratch, 1)
+            more = _confirmed(scratch.write(_agreeing(_star(large), tokens), "pairs1"), docs, scratch, 1)
             links = links.unionByName(scratch.write(more, "links1"))
             groups = components(links, scratch, "components1")
             large = name(large.drop("component"))
-        children = _branch(large)
-        alive = children.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
-        frontier = scratch.write(children.join(alive, "node"), f"nodes{step + 1}")
+        frontier = scratch.write(_branch(large), f"nodes{step + 1}")
     if small:
         few = small[0]
         for more in small[1:]:
