@@ -3,13 +3,14 @@
 A word's input is an embedding of the word and the mean of embeddings of its character 4-grams
 (both by hashed buckets), so that endings never seen still tell.  A gated recurrent unit reads a
 window of ``WINDOW`` words in both directions; attention weighs the steps; a linear layer scores
-the window.  Every overlapping window of the whole text is scored, and a text is as toxic as its
-worst window.
+the window.  A window starts at each word of the whole text (stride 1), all are scored, and a text
+is as toxic as its worst window.
 
 Learning: at most ``SAMPLE`` labelled texts of each kind, chosen by a hash of their ids.  Only
-texts are labelled, not windows, so each round first scores the windows of all sampled texts and
-then learns from each text's worst window and one drawn at random for the clean ones, for ``ROUNDS``
-rounds and until ``UPDATES`` steps are made.
+texts are labelled, not windows, so each round first scores one window in ``EVERY`` of all sampled
+texts, from a start drawn anew for the round, and their last ones, and then learns from each text's
+worst of these and, for the clean ones, one drawn from all windows, for ``ROUNDS`` rounds and until
+``UPDATES`` steps are made.
 
 Null texts count as empty.  A text without words gets the score of an empty window.  Without
 labels of both kinds the score is the share of label 1 (0 without any).
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from .labelled import held_out, learnable, sample
 from .storage import bounded
 
-SAMPLE, WINDOW, STRIDE = 900, 48, 36
+SAMPLE, WINDOW, EVERY = 900, 48, 12
 BUCKETS, WIDTH, STATE = 1 << 14, 8, 8
 ROUNDS, UPDATES, BATCH, RATE, TABLE_RATE, STEP_CHARS = 6, 250, 128, 0.01, 0.003, 1_500_000
+STEP_WINDOWS = 4096
 _AROUND = " \t\r\n.,;:!?\"'()[]{}|*#$%&<>…"
 
 
@@ -59,11 +61,9 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return _buckets(raw), (gram >> np.uint64(40)).astype(np.int64) % BUCKETS, first.astype(np.int64)
 
 
-def windows_of(n: int) -> list[int]:
-    """First words of the windows of a text of n words; the last window ends with the text."""
-    if n <= WINDOW:
-        return [0]
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+def windows_of(n: int) -> range:
+    """First words of the windows of a text of n words: all that leave a whole window, the last one ends with the text."""
+    return range(max(1, n - WINDOW + 1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -171,33 +171,93 @@ class Network:
         """The worst window's probability of each text."""
         if self.constant is not None:
             return [self.constant] * len(texts)
-        words, ids, owner = numbered(texts)
-        x = self.inputs(word_features(words))
-        best = np.full(len(texts), -np.inf)
-        for a in range(0, len(ids), 2048):
-            np.maximum.at(best, owner[a : a + 2048], self.forward(x, ids[a : a + 2048]))
+        if not texts:
+            return []
+        words, places, begin, count = numbered(texts)
+        first = np.cumsum(count) - count
+        starts = np.arange(count.sum()) + np.repeat(begin - first, count)
+        best = np.maximum.reduceat(self.logits(self.inputs(word_features(words)), places, starts), first)
         return _sigmoid(best).tolist()
 
-
-def numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, a row of word numbers for each window of each text, and whose it is."""
+    def logits(self, x: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``forward`` of the windows that begin at ``starts`` in ``places`` (word numbers, -1 where a text is over).
+
+        States lie in columns of windows; of each step only energy and output are kept.
+        """
+        p, k3 = self.p, 3 * STATE
+        sign = np.repeat(np.float32([-1, -1, 2]), STATE)  # what exp takes for the two gates and the new state
+        gates = np.zeros((len(x) + 1, 2 * k3), np.float32)
+        gates[:-1] = (x @ p["inw"] + p["inb"]) * np.tile(sign, 2)
+        gates[-1, STATE : 2 * STATE] = gates[-1, k3 + STATE : k3 + 2 * STATE] = -60  # no word: the state stays
+        after = []
+        for d in (0, 1):
+            half = slice(d * STATE, (d + 1) * STATE)
+            after.append(np.concatenate([p["rec"][d].T * sign[:, None], p["att"][None, half], p["out"][None, half]]).astype(np.float32))
+        out = np.empty(len(starts), np.float32)
+        for a in range(0, len(starts), STEP_WINDOWS):
+            out[a : a + STEP_WINDOWS] = self._some_logits(gates, after, places, starts[a : a + STEP_WINDOWS])
+        return out
+
+    def _some_logits(self, gates, after, places, starts):
+        n, k2, k3 = len(starts), 2 * STATE, 3 * STATE
+        low, high = int(starts.min()), int(starts.max())
+        own = places[low : high + WINDOW]
+        inputs, at = np.ascontiguousarray(gates[own].T), starts - low
+        in_row = high - low == n - 1 and bool((np.diff(starts) == 1).all())
+        energy, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        rz, new = np.empty((k2, n), np.float32), np.empty((STATE, n), np.float32)
+        with np.errstate(over="ignore"):
+            for d in (0, 1):
+                mine = inputs[d * k3 : (d + 1) * k3]
+                h, u = np.zeros((STATE, n), np.float32), np.zeros((k3 + 2, n), np.float32)
+                for step in range(WINDOW):
+                    k = WINDOW - 1 - step if d else step
+                    g = mine[:, k : k + n] if in_row else mine.take(at + k, 1)
+                    np.add(g[:k2], u[:k2], out=rz)
+                    np.exp(rz, out=rz)
+                    rz += 1
+                    np.divide(1, rz, out=rz)
+                    np.multiply(rz[:STATE], u[k2:k3], out=new)
+                    new += g[k2:]
+                    np.exp(new, out=new)  # tanh
+                    new += 1
+                    np.divide(-2, new, out=new)
+                    new += 1
+                    h -= new
+                    h *= rz[STATE:]
+                    h += new
+                    np.matmul(after[d], h, out=u)
+                    energy[k] += u[k3]
+                    value[k] += u[k3 + 1]
+        there = np.stack([own[at + k] >= 0 for k in range(WINDOW)]) if (own < 0).any() else None
+        if there is not None:
+            energy[~there] = -1e9
+        energy -= energy.max(0)
+        np.exp(energy, out=energy)
+        if there is not None:
+            energy *= there
+        value *= energy
+        return value.sum(0) / np.maximum(energy.sum(0), 1e-9) + self.p["bias"][0]
+
+
+def numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; the numbers of the words of all texts in a row, those of short texts filled up by -1 to a
+    window; where each text begins there, and how many windows it has, one from each place on."""
     known: dict[str, int] = {}
-    rows, owner = [], []
-    for k, text in enumerate(texts):
+    rows, count = [], []
+    for text in texts:
         own = [known.setdefault(w, len(known)) for w in (text or "").split()]
-        own = np.array([*own, *[-1] * max(0, WINDOW - len(own))], np.int64)
-        first = windows_of(len(own))
-        rows.append(own[np.array(first)[:, None] + np.arange(WINDOW)])
-        owner += [k] * len(first)
-    return list(known), np.concatenate(rows) if rows else np.empty((0, WINDOW), np.int64), np.array(owner, np.int64)
+        rows.append(np.array([*own, *[-1] * max(0, WINDOW - len(own))], np.int32))
+        count.append(len(windows_of(len(own))))
+    begin = np.cumsum([0, *map(len, rows)])[:-1].astype(np.int64)
+    return list(known), np.concatenate(rows) if rows else np.empty(0, np.int32), begin, np.array(count, np.int64)
 
 
-def _telling(buckets: np.ndarray, ends: np.ndarray, ids: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _telling(buckets: np.ndarray, ends: np.ndarray, places: np.ndarray, begin: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """For each bucket: how far beyond chance more toxic texts than clean ones have it; what the embeddings start with."""
     seen = np.zeros((2, BUCKETS))
-    for k in range(len(labels)):
-        rows = slice(*np.searchsorted(owner, (k, k + 1)))
-        own = np.unique(ids[rows])
+    for k, text in enumerate(np.split(places, begin[1:])):
+        own = np.unique(text)
         own = own[own >= 0]
         if len(own):
             seen[int(labels[k])][np.unique(np.concatenate([buckets[ends[w] : ends[w + 1]] for w in own]))] += 1
@@ -213,40 +273,44 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5, rounds: int
     if len(np.unique(labels)) < 2:
         net.constant = float(labels.mean()) if len(labels) else 0.0
         return net
-    words, ids, owner = numbered(texts)
+    words, places, begin, count = numbered(texts)
     bucket, grams, first = word_features(words)
     last = np.append(first, len(grams))
-    y = labels[owner].astype(np.float32)
-    net.p["word"][:, 0] = _telling(bucket, np.arange(len(bucket) + 1), ids, owner, labels)
-    net.p["char"][:, 0] = _telling(grams, last, ids, owner, labels)
-    weight = np.where(y == 1, np.sqrt((labels == 0).sum() / (labels == 1).sum()), 1).astype(np.float32)
-    starts = np.searchsorted(owner, np.arange(len(texts)))
+    net.p["word"][:, 0] = _telling(bucket, np.arange(len(bucket) + 1), places, begin, labels)
+    net.p["char"][:, 0] = _telling(grams, last, places, begin, labels)
+    weight = np.where(labels == 1, np.sqrt((labels == 0).sum() / (labels == 1).sum()), 1).astype(np.float32)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     t = 0
     turn = 0
     while turn < rounds or t < UPDATES:
-        logit = np.concatenate([net.forward(net.inputs((bucket, grams, first)), ids[a : a + 2048]) for a in range(0, len(ids), 2048)])
+        phase = int(draw.integers(EVERY))
+        own = [np.union1d(np.arange(min(phase, c - 1), c, EVERY), c - 1) for c in count]
+        starts, owner = np.concatenate([b + o for b, o in zip(begin, own)]), np.repeat(np.arange(len(texts)), [len(o) for o in own])
+        x = net.inputs((bucket, grams, first))
         if turn == 0:  # before anything is learned: by the telling words in it
-            telling = np.append(net.inputs((bucket, grams, first))[:, [0, WIDTH]].max(1), 0)
-            logit = telling[ids].sum(1)
+            total = np.cumsum(np.append(0, np.append(x[:, [0, WIDTH]].max(1, initial=-np.inf), 0)[places].astype(float)))
+            logit = total[starts + WINDOW] - total[starts]
+        else:
+            logit = net.logits(x, places, starts)
         order = np.lexsort((logit, owner))
-        worst = order[np.append(starts[1:], len(ids)) - 1]
-        other = starts + (draw.random(len(texts)) * (np.append(starts[1:], len(ids)) - starts)).astype(np.int64)
+        worst = starts[order[np.flatnonzero(np.append(owner[1:] != owner[:-1], True))]]
+        other = begin + (draw.random(len(texts)) * count).astype(np.int64)
         chosen = np.unique(np.concatenate([worst, other[labels == 0]]))
         chosen = draw.permutation(chosen)
         turn += 1
         batch = min(BATCH, max(16, len(chosen) // 12))
         for a in range(0, len(chosen), batch):
-            rows = chosen[a : a + batch]
-            part, inverse = np.unique(ids[rows], return_inverse=True)
+            rows = places[chosen[a : a + batch, None] + np.arange(WINDOW)]
+            text = np.searchsorted(begin, chosen[a : a + batch], "right") - 1
+            part, inverse = np.unique(rows, return_inverse=True)
             inverse = inverse.reshape(len(rows), WINDOW) - (part[0] < 0)
             used = part[part >= 0]
             spans = [grams[first[w] : last[w + 1]] for w in used]
             begins = np.cumsum([0, *map(len, spans)])[:-1]
             own = (bucket[used], np.concatenate(spans), begins)
             t += 1
-            for k, g in net.gradients(own, inverse, y[rows], weight[rows]).items():
+            for k, g in net.gradients(own, inverse, labels[text].astype(np.float32), weight[text]).items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
                 net.p[k] -= (TABLE_RATE if k in ("word", "char") else RATE) * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-6)

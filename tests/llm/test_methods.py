@@ -193,6 +193,30 @@ def test_windows_overlap_and_reach_the_end():
         assert set(range(n)) <= covered
 
 
+def test_logits_of_windows_equal_the_network():
+    net, texts = toxicity.Network(3), [" ".join(f"w{(k * k + n) % 90}" for k in range(n)) for n in (0, 1, 30, 47, 48, 49, 130, 5000)]
+    words, places, begin, count = toxicity.numbered([*texts, None])
+    x = net.inputs(toxicity.word_features(words))
+    for text, score in zip([*texts, None], net.scores([*texts, None])):
+        own = np.array([words.index(w) for w in (text or "").split()] + [-1] * max(0, 48 - len((text or "").split())))
+        ids = np.stack([own[a : a + 48] for a in range(len(own) - 47)])
+        assert abs(net.forward(x, ids).max() - np.log(score / (1 - score))) < 1e-4
+    assert count.tolist() == [1, 1, 1, 1, 1, 2, 83, 4953, 1]
+
+
+def test_a_toxic_passage_counts_alike_wherever_it_begins():
+    net, draw = toxicity.Network(3), random.Random(4)
+    net.p = {k: v * 3 for k, v in net.p.items()}
+    passage = " ".join(f"bad{k}" for k in range(40))
+    alone = [" ".join(f"w{draw.randrange(50)}" for _ in range(160)) for _ in range(3)]
+    for clean in alone:
+        words = clean.split()
+        for at in range(len(words) + 1):
+            text = " ".join([*words[:at], passage, *words[at:]]).split()
+            seen = [" ".join(text[a : a + 48]) for a in range(max(0, at - 8), min(at, len(text) - 48) + 1)]
+            assert net.scores([" ".join(text)])[0] >= max(net.scores(seen)) - 1e-5
+
+
 def test_network_learns_telling_words():
     draw = random.Random(6)
     clean = [f"w{i}" for i in range(400)]
