@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written in numpy.
 
 A word's input is an embedding of the word and the mean of embeddings of its character 4-grams
-(both by hashed buckets), so that endings never seen still tell.  A gated recurrent unit reads a
+(both by hashed buckets), so that endings never seen still tell.  A word of more than ``LONGEST`` bytes, as
+in texts without white space, is read as pieces of ``PIECE`` characters, each with the last
+``SHARED`` of the piece before it; each piece counts as a word.  A gated recurrent unit reads a
 window of ``WINDOW`` words in both directions; attention weighs the steps; a linear layer scores
 the window.  A window starts at each word of the whole text (stride 1), all are scored, and a text
 is as toxic as its worst window.
@@ -30,6 +32,7 @@ SAMPLE, WINDOW, EVERY = 900, 48, 12
 BUCKETS, WIDTH, STATE = 1 << 14, 8, 8
 ROUNDS, UPDATES, BATCH, RATE, TABLE_RATE, STEP_CHARS = 6, 250, 128, 0.01, 0.003, 1_500_000
 STEP_WINDOWS = 4096
+LONGEST, PIECE, SHARED = 40, 10, 3
 _AROUND = " \t\r\n.,;:!?\"'()[]{}|*#$%&<>…"
 
 
@@ -39,7 +42,7 @@ def _buckets(words: list[bytes]) -> np.ndarray:
     h = np.full(len(words), 0x811C9DC5, np.uint64)
     flat = np.frombuffer(b"".join(words), np.uint8)
     start = np.cumsum(lengths) - lengths
-    for k in range(int(min(lengths.max(initial=0), 40))):
+    for k in range(int(lengths.max(initial=0))):
         rows = np.flatnonzero(lengths > k)
         h[rows] = (h[rows] ^ flat[start[rows] + k]) * np.uint64(0x100000001B3)
     return ((h ^ h >> np.uint64(29)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -47,7 +50,7 @@ def _buckets(words: list[bytes]) -> np.ndarray:
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, buckets of all their 4-grams, and where each word's begin."""
-    raw = [w.lower().strip(_AROUND).encode("utf-8", "surrogatepass")[:200] for w in words]
+    raw = [w.lower().strip(_AROUND).encode("utf-8", "surrogatepass") for w in words]
     marked = [b"^" + w + b"$$" if w else b"^-$$" for w in raw]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     flat = np.frombuffer(b"".join(marked) + b"\0\0\0", np.uint8).astype(np.uint64)
@@ -61,6 +64,17 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return _buckets(raw), (gram >> np.uint64(40)).astype(np.int64) % BUCKETS, first.astype(np.int64)
 
 
+def words_of(text: str | None) -> list[str]:
+    """Words between white space, long ones in overlapping pieces."""
+    out = []
+    for w in (text or "").split():
+        if len(w) > LONGEST // 4 and len((low := w.lower()).strip(_AROUND).encode("utf-8", "surrogatepass")) > LONGEST:
+            out += [low[a : a + PIECE] for a in range(0, len(low) - SHARED, PIECE - SHARED)]
+        else:
+            out.append(w)
+    return out
+
+
 def windows_of(n: int) -> range:
     """First words of the windows of a text of n words: all that leave a whole window, the last one ends with the text."""
     return range(max(1, n - WINDOW + 1))
@@ -246,7 +260,7 @@ def numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray
     known: dict[str, int] = {}
     rows, count = [], []
     for text in texts:
-        own = [known.setdefault(w, len(known)) for w in (text or "").split()]
+        own = [known.setdefault(w, len(known)) for w in words_of(text)]
         rows.append(np.array([*own, *[-1] * max(0, WINDOW - len(own))], np.int32))
         count.append(len(windows_of(len(own))))
     begin = np.cumsum([0, *map(len, rows)])[:-1].astype(np.int64)

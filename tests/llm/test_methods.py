@@ -233,6 +233,36 @@ def test_network_learns_telling_words():
     assert (got == (np.array(labels[180:]) == 1)).mean() > 0.9
 
 
+def test_texts_without_white_space_are_read_to_the_end():
+    draw = random.Random(6)
+    clean = [f"w{i}" for i in range(400)]
+    texts, labels = [], []
+    for k in range(240):
+        words = [draw.choice(clean) for _ in range(150)]
+        if k % 3 == 0:
+            for _ in range(4):
+                words[draw.randrange(90, 150)] = draw.choice(["badword", "vileness" + draw.choice("abcdef")])
+        texts.append(",".join(words))
+        labels.append(int(k % 3 == 0))
+    net = toxicity.fit(texts[:180], np.array(labels[:180]))
+    got = np.array(net.scores(texts[180:])) >= 0.5
+    assert (got == (np.array(labels[180:]) == 1)).mean() > 0.9
+    signs = "".join(chr(0x4E00 + 7 * draw.randrange(300)) for _ in range(1000))
+    x = [net.inputs(toxicity.word_features(toxicity.words_of(t))) for t in (signs, signs[:-7] + "恶毒词语" + signs[-3:])]
+    assert len(x[0]) == len(x[1]) > 100 and (x[0][-2:] != x[1][-2:]).any() and (x[0][:-2] == x[1][:-2]).all()
+
+
+def test_long_words_lose_no_character():
+    for word in ("a" * 40, "ab" * 21, "語" * 13, "語" * 14, "😀" * 500, "x" * 5000 + "end", "İ" * 25, "((((" * 30):
+        pieces = toxicity.words_of(f"one {word} two")
+        assert pieces[0] == "one" and pieces[-1] == "two"
+        own = pieces[1:-1]
+        whole = own[0] + "".join(p[toxicity.SHARED :] for p in own[1:])
+        assert whole == (word if len(own) == 1 else word.lower())
+        assert all(len(p.strip(toxicity._AROUND).encode()) <= 40 for p in own)
+    assert toxicity.word_features(["a" * 39 + "b"])[0] != toxicity.word_features(["a" * 39 + "c"])[0]
+
+
 def test_repeat_windows_by_brute_force(spark):
     draw = random.Random(8)
     rows = []
