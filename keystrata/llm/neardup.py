@@ -5,19 +5,20 @@ space; fewer words: the whole sequence).  Two documents are linked when 100 * in
 75 * union, counted on the full sets; groups are the connected components.
 
 Equal sets are one class from the start.  A class has ``COORDINATES`` minwise tokens.  Each of
-``TREES`` independent trees starts with all classes and branches by one or two coordinates drawn
-for the node: classes with the same token share a child, on average 1/0.75 children a class, so
-that a similar pair is expected to share a path at every depth while others part quickly.  Nodes
-with one class end at once.  A node is then
+``TREES`` independent trees starts with all classes and branches by two coordinates drawn for the
+node: classes with the same token share a child, so that a pair of similarity 0.75 is expected to
+share 1.5 children of each node that it shares, while others part quickly.  Nodes with one class
+end at once.  A node is then
   - linked through a pivot at the root (large ones through a second one): each class is compared with
     one of them, which joins a whole group of near copies by as many links as it has classes;
   - done, when all its classes are known to be in one component;
   - small, when few pairs lie in different components: those are all compared;
   - else branched further, by tokens drawn anew.
-After ``DEPTH`` levels a node still large is compared exhaustively in blocks, so nothing is
-dropped.  Comparisons look at the tokens first (a pair of similarity 0.75 agrees in 48 of 64;
-fewer than ``AGREE`` are out), then at the full sets.  At the root a pair of similarity 0.75
-misses all trees with probability below 0.25 ** 10.
+After ``DEPTH`` levels a node still large is compared exhaustively in blocks, so no pair that
+shares a node there is dropped.  Comparisons look at the tokens first (a pair of similarity 0.75 agrees in 48 of 64;
+fewer than ``AGREE`` are out), then at the full sets.  A pair of similarity 0.75 shares no node at
+level L with probability (0.25 + 0.75 q) ** 11, where q is 0 at L = 0 and (0.25 + 0.75 q) ** 2 of
+the one before at each further level: 3e-7 at the root, 5e-6 at level ``DEPTH``, if tokens are independent.
 
 Groups never meet in one task: pivots and counts are partial aggregates.  Null or
 empty texts, or texts without words, have no shingles and stay alone.  Rows that repeat a doc_id
@@ -40,7 +41,7 @@ from .storage import Scratch, bounded
 
 WORDS, PERCENT = 5, 75
 TREES, COORDINATES, AGREE = 8, 64, 29
-CROSS, DEPTH, BLOCK = 50_000, 10, 256
+CROSS, DEPTH, BLOCK = 50_000, 4, 256
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -88,13 +89,12 @@ class _Minwise:
         return np.stack([_mix(tokens[:, c] + np.uint64((tree * 251 + c + 1) << 33)) for tree, c in self.roots], 1).view(np.int64)
 
     def children(self, node: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Which rows go on, and to which child."""
-        seed = _mix(node.view(np.uint64) + np.uint64(1))
+        """Which rows go on, and to which child: all of them twice, by two coordinates."""
+        seed, rows, c = _mix(node.view(np.uint64) + np.uint64(1)), np.arange(len(node)), np.uint64(0)
         for k in (0, 1):
-            rows = np.arange(len(node)) if k == 0 else np.flatnonzero((seed >> np.uint64(40)) % np.uint64(3) == 0)
-            own = seed[rows]
-            c = (own >> np.uint64(8 * k + 4)) % np.uint64(COORDINATES)
-            yield rows, _mix(own ^ _mix(tokens[rows, c.astype(np.int64)].astype(np.uint64) + (c << np.uint64(34)))).view(np.int64)
+            draw = seed >> np.uint64(8 * k + 4)
+            c = draw % np.uint64(COORDINATES) if k == 0 else (c + np.uint64(1) + draw % np.uint64(COORDINATES - 1)) % np.uint64(COORDINATES)
+            yield rows, _mix(seed ^ _mix(tokens[rows, c.astype(np.int64)].astype(np.uint64) + (c << np.uint64(34)))).view(np.int64)
 
 
 _MINWISE: list[_Minwise] = []

@@ -61,6 +61,52 @@ def test_children_keep_similar_classes_together():
         assert len(rows) == len(child)
 
 
+def test_pairs_share_a_node_at_the_deepest_level():
+    of, draw, lost = neardup.minwise(), np.random.default_rng(5), 0
+    for _ in range(1500):  # pairs of similarity 0.75
+        a = draw.integers(1, 2**63, 400, np.uint64)
+        tokens = np.stack([of.tokens(a[:350]), of.tokens(a[50:])])
+        roots = of.root_nodes(tokens)
+        shared = set(roots[0][roots[0] == roots[1]].tolist())
+        for _ in range(neardup.DEPTH):
+            nodes = np.array(sorted(shared), np.int64)
+            left, right = ({c for _, child in of.children(nodes, np.repeat(t[None], len(nodes), 0)) for c in child.tolist()} for t in tokens)
+            shared = left & right
+        lost += not shared
+    assert lost == 0
+
+
+def test_planted_pairs_of_a_family_by_brute_force(spark, monkeypatch):
+    from keystrata.llm.storage import Scratch
+
+    monkeypatch.setattr(neardup, "CROSS", 20)
+    draw, texts = random.Random(12), []
+    template = [f"t{k}" for k in range(60)]
+    for k in range(250):
+        own = template + [f"x{k}y{j}" for j in range(50)]  # no two of one family are linked
+        texts.append(own)
+        if k % 2 == 0:  # 106 shingles, of which a pair shares about six in seven
+            at = draw.randrange(64, 100)
+            texts.append(own[:at] + [f"z{k}w{j}" for j in range(8)] + own[at + 8 :])
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [neardup.shingles(t) for _, t in docs]
+    top = list(range(len(docs)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if neardup.linked(sets[i], sets[j]):
+                p, q = sorted((find(i), find(j)))
+                top[q] = p
+    rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {k: find(k) for k in range(len(docs))}
+    assert len({find(k) for k in range(len(docs))}) == 250
+
+
 def brute_runs(parts, words):
     own = [(i, p.split()) for i, p in enumerate(parts) if p.split()]
     out = set()
