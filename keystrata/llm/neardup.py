@@ -8,22 +8,25 @@ Equal sets are one class from the start.  A class has ``COORDINATES`` minwise to
 ``TREES`` independent trees starts with all classes and branches by two coordinates drawn for the
 node: classes with the same token share a child, so that a pair of similarity 0.75 is expected to
 share 1.5 children of each node that it shares, while others part quickly.  Nodes with one class
-end at once.  A node is then
-  - linked through a pivot at the root (large ones through a second one): each class is compared with
-    one of them, which joins a whole group of near copies by as many links as it has classes;
+end at once.  At the root each class is compared with its node's pivot (in large nodes with a
+second one), which joins a whole group of near copies by as many links as it has classes.  Then a
+node is
   - done, when all its classes are known to be in one component;
-  - small, when few pairs lie in different components: those are all compared;
+  - small, with at most ``SMALL`` classes and ``SMALL_SET`` shingles in all: compared exhaustively;
+  - led by one component, with at most ``REST`` classes of others: those meet all of it, in blocks;
   - else branched further, by tokens drawn anew.
-After ``DEPTH`` levels a node still large is compared exhaustively in blocks, so no pair that
-shares a node there is dropped.  Comparisons look at the tokens first (a pair of similarity 0.75 agrees in 48 of 64;
-fewer than ``AGREE`` are out), then at the full sets.  A pair of similarity 0.75 shares no node at
-level L with probability (0.25 + 0.75 q) ** 11, where q is 0 at L = 0 and (0.25 + 0.75 q) ** 2 of
-the one before at each further level: 3e-7 at the root, 5e-6 at level ``DEPTH``, if tokens are independent.
-
-Groups never meet in one task: pivots and counts are partial aggregates.  Null or
-empty texts, or texts without words, have no shingles and stay alone.  Rows that repeat a doc_id
-are one vertex.  A null doc_id takes the component of a document with an equal set; without one
-its component_id is null and it is kept.
+After ``DEPTH`` levels a node still large is compared exhaustively in pairs of blocks, so no pair
+that shares a node there is dropped.  Comparisons look at the tokens first (a pair of similarity
+0.75 agrees in 48 of 64; fewer than ``AGREE`` are out), then at the full sets.  A pair of similarity
+0.75 shares no node at level L with probability (0.25 + 0.75 q) ** 11, where q is 0 at L = 0 and
+(0.25 + 0.75 q) ** 2 of the one before at each further level: 3e-7 at the root, 5e-6 at level
+``DEPTH``, if tokens are independent.
+
+Groups never meet in one task: pivots and counts are partial aggregates, and what does meet is
+bounded in rows and in bytes.  Null or empty texts, or texts without words, have no shingles and
+stay alone.  Classes are not named by doc_id, so one doc_id on several texts links nothing by
+itself; a component_id is the smallest doc_id of its group.  A null doc_id takes the component_id
+of its group; if the whole group has none, it is null.
 """
 
 from __future__ import annotations
@@ -33,15 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Scratch, bounded
+from .storage import Scratch, bounded, sliced, text_key, without_rows
 
 WORDS, PERCENT = 5, 75
 TREES, COORDINATES, AGREE = 8, 64, 29
-CROSS, DEPTH, BLOCK = 50_000, 4, 256
+#: Bounds of what meets in one task: classes and shingles (8 bytes each) of a node, classes of a led node outside its
+#: leading component.
+SMALL, SMALL_SET, REST, DEPTH = 4096, 1 << 22, 256, 4
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -113,7 +118,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches):
         of = minwise()
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, keys, tokens = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text)
@@ -121,30 +126,41 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 tokens.append(of.tokens(own))
             both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            roots = of.root_nodes(np.stack(tokens)) if tokens else np.empty((0, len(of.roots)), np.int64)
+            roots = of.root_nodes(np.stack(tokens))
             width = roots.shape[1]
             columns = [
                 batch.column("doc_id"),
+                batch.column("t"),
                 pa.array(sizes, pa.int64()),
                 pa.array(both[:, 0]),
                 pa.array(both[:, 1]),
                 pa.array([t.tobytes() for t in tokens], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(roots) + 1) * width, pa.int32()), pa.array(roots.reshape(-1))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "g", "tokens", "roots"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n", "h", "g", "tokens", "roots"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h long, g long, tokens binary, roots array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("t"), "text")
+    return rows.mapInArrow(run, "doc_id long, t long, n long, h long, g long, tokens binary, roots array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of the documents in ``ids`` (id)."""
+class _Texts:
+    """Full sets of classes, read from the text of the row that stands for each."""
 
-    def run(batches):
-        for batch in batches:
-            made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "content"])
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes = docs, classes
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(ids, 1_000_000), "id", "left_semi").mapInArrow(run, "id long, content binary")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, content) of the classes in ``ids`` (id)."""
+
+        def run(batches):
+            for batch in sliced(batches):
+                made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], ["id", "content"])
+
+        want = bounded(self.classes.select("id", "rep.doc_id", "rep.t").join(ids, "id", "left_semi"), 1_000_000)
+        docs = self.docs.select(F.col("doc_id").cast("long"), text_key().alias("t"), "text")
+        same = docs["doc_id"].eqNullSafe(want["doc_id"]) & (docs["t"] == want["t"])
+        return docs.join(want, same).select("id", "text").mapInArrow(run, "id long, content binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -162,19 +178,27 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "p", "q", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: _Texts, scratch: Scratch, step: int) -> DataFrame:
     """Pairs that are linked, counted on their full sets."""
     ids = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"ids{step}")
-    sets = scratch.write(_sets(docs, ids), f"sets{step}")
+    sets = scratch.write(texts.sets(ids), f"sets{step}")
 
     def run(batches):
         for batch in batches:
-            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            ok = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_())
+            x, y = batch.column("x"), batch.column("y")
+            ok = pa.array([linked(_set(x[k]), _set(y[k])) for k in range(len(batch))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     left, right = sets.select(F.col("id").alias("a"), F.col("content").alias("x")), sets.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = scratch.write(links.distinct(), f"links{step}")
+    for name in ("ids", "sets", "pairs"):
+        scratch.drop(f"{name}{step}")
+    return links
+
+
+def _set(content: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(content.as_buffer(), np.uint64)
 
 
 def _star(rows: DataFrame) -> DataFrame:
@@ -194,34 +218,51 @@ def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
 
 
 _CLOSE = "node long, id long, component long, n long, tokens binary"
+_ROW = ["node", "id", "component", "n", "tokens"]
+
+
+def _apart(mark: DataFrame, tokens: DataFrame | None, scratch: Scratch, step: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Rows of nodes (node, id, component, n) whose classes lie in several components: those to be compared, as small
+    nodes, and those of large ones, if there are any.  ``tokens``: where the rows do not carry them yet."""
+    drawn = F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id")))
+    parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), drawn.alias("p"))
+    nodes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.sum("s").alias("shingles"), F.max(F.struct("c", "s", "component")).alias("top"), F.min("p")["id"].alias("pivot"))
+    small = (F.col("size") <= SMALL) & (F.col("shingles") <= SMALL_SET)
+    led = (F.col("size") - F.col("top.c") <= REST) & (F.col("shingles") - F.col("top.s") <= SMALL_SET / 4)
+    blocks = F.when(small, 0).when(led, _blocks("size", "shingles")).otherwise(-1)
+    nodes = nodes.where(F.col("size") > F.col("top.c")).select("node", "pivot", "size", "shingles", F.col("top.component").alias("lead"), blocks.alias("blocks"))
+    nodes = scratch.write(nodes, f"mixed{step}")
+    kinds = {r[0] for r in nodes.select(F.signum("blocks").cast("int")).distinct().collect()}
+    if not kinds:
+        return [], None
+    rows = mark.drop("pivot").join(bounded(nodes), "node")
+    rows = rows.join(tokens, "id") if tokens is not None else rows
+    rows = scratch.write(rows.select("node", "id", "component", "n", "tokens", "pivot", "size", "shingles", "lead", "blocks"), f"members{step}")
+    few = [rows.where("blocks = 0")]
+    if 1 in kinds:
+        all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+        own = F.when(F.col("component") == F.col("lead"), F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(all_blocks)
+        few.append(rows.where("blocks > 0").withColumn("block", F.explode(own)).withColumn("node", F.xxhash64("node", "block")))
+    return [f.select(*_ROW) for f in few], rows.where("blocks < 0") if -1 in kinds else None
 
 
-def _apart(mark: DataFrame, tokens: DataFrame | None, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame, float | None]:
-    """Rows of nodes (node, id, component) with classes in different components: of small nodes, of large ones, and the
-    most such pairs in one node.  ``tokens``: where the rows do not carry them yet."""
-    drawn = lambda c: F.min(F.struct(F.xxhash64(c, F.lit(step)).alias("h"), F.col(c).alias("id")))
-    parts = mark.groupBy("node", "component").agg(F.count("*").alias("c"), drawn("id").alias("p"))
-    cross = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
-    mixed = parts.groupBy("node").agg(cross.alias("cross"), F.min("p")["id"].alias("pivot")).where("cross > 0")
-    mixed = scratch.write(mixed, f"mixed{step}")
-    most = mixed.agg(F.max("cross")).head()[0]
-    if most is None:
-        return mark, mark, None
-    rows = mark.drop("pivot").join(bounded(mixed), "node")
-    rows = rows.join(tokens, "id") if tokens is not None else rows
-    rows = scratch.write(rows.select("node", "id", "component", "n", "tokens", "cross", "pivot"), f"members{step}")
-    return rows.where(F.col("cross") <= CROSS), rows.where(F.col("cross") > CROSS), most
+def _blocks(rows: str, shingles: str) -> Column:
+    """In how many blocks a node is dealt, so that two of them make a small node."""
+    return F.ceil(F.greatest(F.col(rows) * (3 / SMALL), F.col(shingles) * (3 / SMALL_SET))).cast("int")
 
 
-def _node_links(few: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _node_links(few: DataFrame, texts: _Texts, scratch: Scratch) -> DataFrame:
     """Links that join components within small nodes (node, id, component, n, tokens).
 
     First the tokens say which classes of a node have a candidate in another component; only those meet
     again with their full sets.  A node gives a link where two of its components join, not each pair.
     """
-    close = scratch.write(_by_node(few.select("node", "id", "component", "n", "tokens"), close_classes, _CLOSE), "close")
-    sets = _sets(docs, scratch.write(close.select("id").distinct(), "close-ids"))
-    return _by_node(close.join(sets, "id"), joining_links, "a long, b long")
+    close = scratch.write(_by_node(few, close_classes, _CLOSE), "close")
+    sets = scratch.write(texts.sets(scratch.write(close.select("id").distinct(), "close-ids")), "close-sets")
+    links = scratch.write(_by_node(close.join(sets, "id"), joining_links, "a long, b long"), "links-small")
+    for name in ("close", "close-ids", "close-sets"):
+        scratch.drop(name)
+    return links
 
 
 def _groups(batches) -> Iterator[pa.Table]:
@@ -266,7 +307,7 @@ def close_classes(node: pa.Table) -> Iterator[pa.RecordBatch]:
 def joining_links(node: pa.Table) -> Iterator[pa.RecordBatch]:
     """Candidates confirmed on full sets, as long as they join components that are apart yet."""
     ids = node.column("id").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in node.column("content").to_pylist()]
+    sets = [_set(x) for x in node.column("content")]
     top: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -305,70 +346,76 @@ def _branch(rows: DataFrame) -> DataFrame:
             for rows_, child in minwise().children(node, tokens):
                 yield pa.RecordBatch.from_arrays([pa.array(child), *batch.take(pa.array(rows_)).columns[1:]], batch.schema.names)
 
-    return rows.select("node", "id", "component", "n", "tokens").mapInArrow(run, _CLOSE)
+    return rows.select(*_ROW).mapInArrow(run, _CLOSE)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
     """Nodes that no level has made small, as pairs of blocks: every pair of their classes shares one at least."""
-    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = rows.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return own.withColumn("node", pair).drop("blocks", "own", "other")
+    own = rows.withColumn("many", _blocks("size", "shingles")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    return own.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select(*_ROW)
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
-    rows = scratch.write(_signatures(docs), "signatures")
-    known = rows.where("n > 0 AND doc_id IS NOT NULL")
-    same = scratch.write(known.groupBy("h", "g", "n").agg(F.min("doc_id").alias("id")), "same")
-    classes = known.withColumnRenamed("doc_id", "id").join(same.select("id"), "id", "left_semi")
-    classes = scratch.write(classes.select("id", "n", "tokens", "roots"), "classes")
+def _groups_of_classes(classes: DataFrame, texts: _Texts, scratch: Scratch) -> DataFrame:
+    """(id, component) of the classes that are linked with another."""
     tokens = classes.select("id", "n", "tokens")
-
-    nodes = classes.select("id", F.explode("roots").alias("node"))
+    nodes = classes.select("id", "n", F.explode("roots").alias("node"))
     shared = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("pivot"), F.expr("bit_xor(xxhash64(id))").alias("print")).where("size > 1")
     # Nodes of different trees with the same classes are one.
     once = scratch.write(shared.groupBy("size", "pivot", "print").agg(F.min("node").alias("node")).select("node", "pivot"), "roots")
-    frontier = scratch.write(nodes.join(once, "node").distinct(), "nodes0")  # node, id, pivot
+    frontier = scratch.write(nodes.join(bounded(once), "node").distinct(), "nodes0")  # node, id, n, pivot
 
     # Pivots first: they join whole groups of near copies.
-    links = _confirmed(scratch.write(_agreeing(_star(frontier), tokens), "pairs0"), docs, scratch, 0)
-    links = scratch.write(links, "links0")
+    links = _confirmed(scratch.write(_agreeing(_star(frontier), tokens), "pairs0"), texts, scratch, 0)
     groups = components(links, scratch, "components0")
     name = lambda rows: rows.join(bounded(groups), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    frontier = scratch.write(name(frontier), "marked0")
+    frontier = name(frontier)
     small: list[DataFrame] = []
     for step in range(DEPTH + 1):
-        few, large, most = _apart(frontier, None if step else tokens, scratch, step)
-        if most is None:
-            break
-        small.append(few)
-        if most <= CROSS:
+        few, large = _apart(frontier, None if step else tokens.drop("n"), scratch, step)
+        small += few
+        if large is None:
             break
         if step == DEPTH:
-            small.append(_blocks(large))
+            small.append(_pairs_of_blocks(large))
             break
         if step == 0:  # another pivot for nodes whose first one was the odd one out
-            more = _confirmed(scratch.write(_agreeing(_star(large), tokens), "pairs1"), docs, scratch, 1)
-            links = links.unionByName(scratch.write(more, "links1"))
+            links = links.unionByName(_confirmed(scratch.write(_agreeing(_star(large), tokens), "pairs1"), texts, scratch, 1))
             groups = components(links, scratch, "components1")
             large = name(large.drop("component"))
         frontier = scratch.write(_branch(large), f"nodes{step + 1}")
     if small:
         few = small[0]
         for more in small[1:]:
-            few = few.unionByName(more.select(few.columns))
-        links = links.unionByName(scratch.write(_node_links(few, docs, scratch), "links-small"))
+            few = few.unionByName(more)
+        links = links.unionByName(_node_links(few, texts, scratch))
         groups = components(links, scratch, "components-small")
+    return groups
+
+
+def _grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, t, n, component (null: no shingles), component_id and size (rows of the component) of each row."""
+    rows = scratch.write(_signatures(docs), "signatures")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+    classes = rows.where("n > 0").groupBy("h", "g", "n").agg(rep.alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("roots").alias("roots"))
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    groups = _groups_of_classes(classes, _Texts(docs, classes), scratch)
+
+    named = classes.select("h", "g", "n", "id", "rep.doc_id", "copies").join(bounded(groups), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    top = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size"))
+    named = scratch.write(named.drop("doc_id", "copies", "id").join(top, "component"), "named")
+    return rows.select("doc_id", "t", "n", "h", "g").join(named, ["h", "g", "n"], "left").drop("h", "g")
+
 
-    named = rows.join(same.withColumnRenamed("id", "class"), ["h", "g", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class"))
-    top = groups.withColumnRenamed("id", "class")
-    named = named.join(bounded(top), "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
-    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+    top = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    rows = _grouped(docs, scratch).select("doc_id", F.col("n").alias("n_shingles"), top)
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    gone = scratch.write(near_duplicates(docs, scratch).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: of each group one row, that of the smallest doc_id
+    (null ones last; then by a hash of the text), and all rows without shingles."""
+    rows = scratch.write(_grouped(docs, scratch).where("size > 1").select("doc_id", "t", F.col("component").alias("group")), "grouped")
+    return without_rows(docs, rows, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"), scratch)
