@@ -76,10 +76,14 @@ def test_pairs_share_a_node_at_the_deepest_level():
     assert lost == 0
 
 
-def test_planted_pairs_of_a_family_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small, rest, depth", [(4096, 256, 4), (8, 0, 4), (8, 0, 1), (8, 0, 0), (2, 300, 4)])
+def test_planted_pairs_of_a_family_by_brute_force(spark, monkeypatch, small, rest, depth):
+    """All small; branched to the last level; pairs of blocks after one level and at once; nodes led by one component."""
     from keystrata.llm.storage import Scratch
 
-    monkeypatch.setattr(neardup, "CROSS", 20)
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "REST", rest)
+    monkeypatch.setattr(neardup, "DEPTH", depth)
     draw, texts = random.Random(12), []
     template = [f"t{k}" for k in range(60)]
     for k in range(250):
@@ -215,12 +219,13 @@ def test_gradients_of_the_network():
     net.p = {k: v.astype(float) for k, v in net.p.items()}
     features = toxicity.word_features(["abc", "hello", "x."])
     ids, y = np.array([[0, 1, 2, -1], [2, 1, -1, -1]]), np.array([1.0, 0.0])
+    inside = np.array([[0, 1, 1, 1], [1, 1, 1, 1]], bool)
 
     def loss():
-        p = 1 / (1 + np.exp(-net.forward(net.inputs(features).astype(float), ids)))
+        p = 1 / (1 + np.exp(-net.forward(net.inputs(features).astype(float), ids, inside)))
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    grads = net.gradients(features, ids, y)
+    grads = net.gradients(features, ids, y, inside=inside)
     for name, at in (("rec", (0, 1, 3)), ("rec", (1, 2, 17)), ("inw", (3, 20)), ("att", (3,)), ("out", (9,)), ("bias", (0,)), ("word", (features[0][1], 2)), ("char", (features[1][2], 4))):
         value = net.p[name]
         old, step = value[at], 1e-3
@@ -232,35 +237,52 @@ def test_gradients_of_the_network():
         assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-5, name
 
 
-def test_windows_overlap_and_reach_the_end():
-    for n in (0, 1, 48, 49, 84, 85, 500):
-        first = toxicity.windows_of(max(n, 48))
-        covered = {i for a in first for i in range(a, a + 48)}
-        assert set(range(n)) <= covered
+def test_each_window_lies_in_one_segment():
+    count = np.array([0, 1, 47, 48, 49, 192, 193, 337, 338, 5000])
+    owner, first, length = toxicity.segments(count)
+    for k, n in enumerate(count):
+        own = [(a, m) for o, a, m in zip(owner, first, length) if o == k]
+        starts = [a + i for a, m in own for i in range(max(1, m - 47))]
+        assert starts == list(range(max(1, n - 47)))
+        assert all(a + m <= n and m <= 192 for a, m in own)
 
 
-def test_logits_of_windows_equal_the_network():
-    net, texts = toxicity.Network(3), [" ".join(f"w{(k * k + n) % 90}" for k in range(n)) for n in (0, 1, 30, 47, 48, 49, 130, 5000)]
-    words, places, begin, count = toxicity.numbered([*texts, None])
+def test_scores_equal_the_network():
+    net, draw = toxicity.Network(3), random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(90)}" for _ in range(n)) for n in (0, 1, 30, 47, 48, 49, 130, 192, 400)] + [None, "x" * 95 + " y"]
+    words, places, count = toxicity.numbered(texts)
     x = net.inputs(toxicity.word_features(words))
-    for text, score in zip([*texts, None], net.scores([*texts, None])):
-        own = np.array([words.index(w) for w in (text or "").split()] + [-1] * max(0, 48 - len((text or "").split())))
-        ids = np.stack([own[a : a + 48] for a in range(len(own) - 47)])
-        assert abs(net.forward(x, ids).max() - np.log(score / (1 - score))) < 1e-4
-    assert count.tolist() == [1, 1, 1, 1, 1, 2, 83, 4953, 1]
-
-
-def test_a_toxic_passage_counts_alike_wherever_it_begins():
-    net, draw = toxicity.Network(3), random.Random(4)
-    net.p = {k: v * 3 for k, v in net.p.items()}
-    passage = " ".join(f"bad{k}" for k in range(40))
-    alone = [" ".join(f"w{draw.randrange(50)}" for _ in range(160)) for _ in range(3)]
-    for clean in alone:
-        words = clean.split()
-        for at in range(len(words) + 1):
-            text = " ".join([*words[:at], passage, *words[at:]]).split()
-            seen = [" ".join(text[a : a + 48]) for a in range(max(0, at - 8), min(at, len(text) - 48) + 1)]
-            assert net.scores([" ".join(text)])[0] >= max(net.scores(seen)) - 1e-5
+    assert [words[p] for p in places] == [w for t in texts for w in toxicity.words_of(t)]
+    begin = np.cumsum(count) - count
+    best, start = net.worst(x, places, count)
+    for k, score in enumerate(net.scores(texts)):
+        found = []
+        for owner, first, length in zip(*toxicity.segments(count[k : k + 1])):
+            ids = places[begin[k] + first : begin[k] + first + length][None]
+            for a in range(max(1, length - 47)):
+                inside = (np.arange(length) >= a) & (np.arange(length) < a + 48)
+                found.append(float(net.forward(x, ids, inside[None])[0]) if length else float(net.p["bias"][0]))
+        assert abs(max(found) - np.log(score / (1 - score))) < 1e-4 and abs(best[k] - max(found)) < 1e-4
+        assert abs(found[start[k]] - max(found)) < 1e-4
+
+
+def test_a_toxic_passage_counts_wherever_it_begins():
+    draw = random.Random(6)
+    clean = [f"w{i}" for i in range(400)]
+    make = lambda n: [draw.choice(clean) for _ in range(n)]
+    passage = lambda: [w for _ in range(4) for w in (draw.choice(["badword", "vileness"]), draw.choice(clean))]
+    texts, labels = [], []
+    for k in range(240):
+        words = make(150)
+        if k % 3 == 0:
+            at = draw.randrange(150)
+            words[at:at] = passage()
+        texts.append(" ".join(words))
+        labels.append(int(k % 3 == 0))
+    net = toxicity.fit(texts, np.array(labels))
+    words = make(400)
+    assert net.scores([" ".join(words)])[0] < 0.5
+    assert all(s >= 0.5 for s in net.scores([" ".join([*words[:at], *passage(), *words[at:]]) for at in range(0, 401)]))
 
 
 def test_network_learns_telling_words():
@@ -309,18 +331,31 @@ def test_long_words_lose_no_character():
     assert toxicity.word_features(["a" * 39 + "b"])[0] != toxicity.word_features(["a" * 39 + "c"])[0]
 
 
-def test_repeat_windows_by_brute_force(spark):
+def base_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    twice = Counter(grams)
+    covered = {i + j for i, g in enumerate(grams) if twice[g] > 1 for j in range(8)}
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_base_counts_by_brute_force(spark):
+    from keystrata.llm.storage import Scratch
+
     draw = random.Random(8)
-    rows = []
-    for k in range(60):
+    texts = [None, "", "a b\n\nc d\n\ne f", "x y\n \t\n\nx y\n \t\nq", "\x1c\n\x1c", "a|b <c>\r\n" * 30, "wort " * 40_000, "ab\u3000c\xa0d \u2028e\n" * 9]
+    for k in range(80):
         words = [draw.choice("abcdefgh") for _ in range(draw.randrange(60))]
         if k % 2:
             words += words[: draw.randrange(1, 12)] * 2
-        rows.append((k, draw.choice([" ", "\n", "\t "]).join(words)))
-    out = {r.doc_id: r for r in rules.statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", text)
-        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-        twice = Counter(grams)
-        covered = {i + j for i, g in enumerate(grams) if twice[g] > 1 for j in range(8)}
-        assert (out[k].n_words, out[k].n_repeat_words) == (len(w), len(covered))
+        texts.append("".join(w + draw.choice([" ", "\n", "\t ", "\n\n", "\n \t\n", "# "]) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = rules.quality_by_rules(docs, Scratch(spark, "t")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert got == base_counts(texts[r.doc_id]), r.doc_id
+        assert not (r.kept and r.base_failed)
