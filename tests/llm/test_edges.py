@@ -113,11 +113,21 @@ def test_near(spark, docs):
 
 def test_spans(spark, docs):
     out = by_id(spans.without_repeats(docs, Scratch(spark, "t")))
-    assert out[1].text == BASE and out[3].text == "" and out[3].n_removed == 1
+    assert out[1].text == BASE and out[3].text == BASE + "\n" and out[3].n_removed == 0  # one sentence is no run
     assert out[2].text == NEAR and out[4].text is None and out[8].text == "two words" and out[None].text == "no id here"
     assert spans.without_repeats(docs.limit(0), Scratch(spark, "t")).collect() == []
-    with pytest.raises(ValueError):
-        spans.without_repeats(docs.withColumn("n_removed", F.lit(1)), Scratch(spark, "t"))
+    clash = docs.select("*", F.lit(1).alias("n_removed"), F.lit("x").alias("h"), F.lit(2).alias("first"))
+    assert spans.drop_repeats(clash, Scratch(spark, "t")).columns == clash.columns
+    assert sorted(spans.without_repeats(clash, Scratch(spark, "t")).columns) == sorted([*clash.columns, "n_sentences"])
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    rows = [(1, "same text here"), (5, "same text here"), (5, "a text of its own, quite long"), (None, "same text here"), (None, "only null"), (None, "only null"), (9, " \n"), (9, " \n"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in exact.drop_exact_duplicates(docs, Scratch(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "same text here"), (5, "a text of its own, quite long"), (None, "only null"), (9, " \n")], key=str)
+    got = [tuple(r) for r in neardup.drop_near_duplicates(docs, Scratch(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "same text here"), (5, "a text of its own, quite long"), (None, "only null"), (9, " \n"), (9, " \n"), (8, None)], key=str)
 
 
 def test_packing(spark, docs, vocabulary, library):

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -86,7 +87,7 @@ def test_planted_pairs_of_a_family_by_brute_force(spark, monkeypatch, small, res
     monkeypatch.setattr(neardup, "DEPTH", depth)
     draw, texts = random.Random(12), []
     template = [f"t{k}" for k in range(60)]
-    for k in range(250):
+    for k in range(120):
         own = template + [f"x{k}y{j}" for j in range(50)]  # no two of one family are linked
         texts.append(own)
         if k % 2 == 0:  # 106 shingles, of which a pair shares about six in seven
@@ -108,41 +109,61 @@ def test_planted_pairs_of_a_family_by_brute_force(spark, monkeypatch, small, res
                 top[q] = p
     rows = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t")).collect()
     assert {r.doc_id: r.component_id for r in rows} == {k: find(k) for k in range(len(docs))}
-    assert len({find(k) for k in range(len(docs))}) == 250
-
-
-def brute_runs(parts, words):
-    own = [(i, p.split()) for i, p in enumerate(parts) if p.split()]
-    out = set()
-    for k in range(len(own)):
-        for order in (range(k + 1, len(own) + 1), None):
-            if order is not None:
-                ends = [e for e in order if sum(len(w) for _, w in own[k:e]) >= words]
-                if ends:
-                    out.add((own[k][0], own[ends[0] - 1][0] + 1))
-            else:
-                begins = [b for b in range(k, -1, -1) if sum(len(w) for _, w in own[b : k + 1]) >= words]
-                if begins:
-                    out.add((own[begins[0]][0], own[k][0] + 1))
-    return out
-
-
-def test_runs_are_the_shortest_ones():
+    assert len({find(k) for k in range(len(docs))}) == 120
+
+
+def test_pieces_tile_the_text():
     draw = random.Random(9)
-    for _ in range(200):
-        text = "".join(draw.choice(["a b. ", "c! ", "d e f g? ", "h\n", "\n\n", "i j k. "]) for _ in range(draw.randrange(12)))
-        parts = spans.sentences(text)
-        assert "".join(parts) == text
-        assert {(i, j) for i, j, _ in spans.runs(parts, 5)} == brute_runs(parts, 5)
-
-
-def test_passages_go_from_later_documents_only():
-    passage = "The quick brown fox jumps over it. Nobody had seen such a thing in all these years. They told it to each other again and again that winter."
-    first, later = f"Before it. {passage} After it.", f"Something else here {passage} And more."
-    gone = [int.from_bytes(d[:8], "little", signed=True) for _, _, d in spans.runs(spans.sentences(first))]
-    text, _, removed = spans.strip(later, gone)
-    assert removed == 2 and text == "Something else here The quick brown fox jumps over it. And more."
-    assert spans.strip("Nothing of that. At all.", gone)[2] == 0
+    for _ in range(300):
+        text = "".join(draw.choice(["a b. ", "c!", "。", "d，", " \n ", "h\n", "\n\n", "i, ", "  ", "j:k"]) for _ in range(draw.randrange(14)))
+        assert "".join(spans.sentences(text)) == text
+
+
+def test_spans_by_brute_force(spark):
+    from keystrata.llm.storage import Scratch
+
+    draw = random.Random(10)
+    for _ in range(2):
+        pool = [" ".join(draw.choice("abcdefg") for _ in range(draw.randrange(1, 5))) + draw.choice([".", "!", ",", ";", ""]) for _ in range(12)]
+        docs = {}
+        for k in range(80):
+            docs[k] = "".join(draw.choice(pool) + draw.choice([" ", " ", "\n", " \n ", "\n\n", "  "]) for _ in range(draw.randrange(14)))
+        rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+        got = {r.doc_id: r.text.split() for r in spans.without_repeats(rows, Scratch(spark, "t"), words=6).collect()}
+        assert got == brute.without_repeats(docs, 6)
+
+
+PASSAGE = "The quick brown fox jumps over it. Nobody had seen such a thing in all these years. They told it to each other again and again that winter."
+
+
+def left(spark, *texts):
+    from keystrata.llm.storage import Scratch
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in spans.without_repeats(rows, Scratch(spark, "t")).orderBy("doc_id").collect()]
+
+
+def test_passages_go_from_later_documents_only(spark):
+    first, later, other = left(spark, f"Before it. {PASSAGE} After it.", f"Something else here {PASSAGE} And more.", "Nothing of that. At all.")
+    assert first == f"Before it. {PASSAGE} After it." and other == "Nothing of that. At all."
+    assert later == "Something else here The quick brown fox jumps over it. And more."
+
+
+def test_rewrapped_passages_are_found(spark):
+    words = PASSAGE.split()
+    wrapped = "\n".join(" ".join(words[a : a + 7]) for a in range(0, len(words), 7))
+    assert left(spark, f"One. {PASSAGE} End of it.", f"Two. {wrapped} Something else.")[1] == "Two. Something else."
+    assert left(spark, f"One. {wrapped} End of it.", f"Two. {PASSAGE} Something else.")[1] == "Two. Something else."
+
+
+def test_passages_without_spaces_are_found(spark):
+    passage = "今天天气很好我们去公园。孩子们在草地上跑来跑去非常高兴。晚上大家一起吃饭讲故事直到很晚。"
+    assert left(spark, f"开始。{passage}结束了。", f"另外的话。{passage}别的内容。")[1] == "另外的话。别的内容。"
+
+
+def test_one_long_sentence_alone_is_no_run(spark):
+    long = " ".join(f"w{k}" for k in range(60)) + "."
+    assert left(spark, f"A b. {long} C d.", f"E f. {long} G h.")[1] == f"E f. {long} G h."
 
 
 def test_packing_is_close_to_the_bound():

@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pytest
 
+import brute
 import corpus_pipeline
-from keystrata.llm import queries, spans, tokenize, toxicity
+from keystrata.llm import queries, tokenize, toxicity
 from keystrata.llm.storage import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -77,21 +78,10 @@ def test_near(kept):
 
 
 def test_substring(kept):
-    before = texts(kept["near_dedup"])
-    first = {}
-    for i in sorted(before):
-        for _, _, digest in spans.runs(spans.sentences(before[i])):
-            first.setdefault(digest, i)
-    after = kept["substring_dedup"]
-    assert set(texts(after)) == set(before)
-    for r in after:
-        parts, lost, seen = spans.sentences(before[r["doc_id"]]), set(), set()
-        for i, j, digest in spans.runs(parts):
-            if first[digest] != r["doc_id"] or digest in seen:
-                lost |= set(range(i, j))
-            seen.add(digest)
-        assert r["text"] == "".join(p for k, p in enumerate(parts) if k not in lost)
-        assert r["n_chars"] == len(r["text"])
+    before, after = texts(kept["near_dedup"]), kept["substring_dedup"]
+    want = brute.without_repeats({i: t or "" for i, t in before.items()})
+    assert {r["doc_id"]: (r["text"] or "").split() for r in after} == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in after)
 
 
 def test_packing(kept):
