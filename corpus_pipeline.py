@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keystrata.llm.exact import drop_exact_duplicates
 from keystrata.llm.neardup import drop_near_duplicates
 from keystrata.llm.packing import pack_documents
-from keystrata.llm.spans import without_repeats
+from keystrata.llm.spans import drop_repeats
 from keystrata.llm.storage import Scratch
 from keystrata.llm.tokenize import public_vocabulary
 from keystrata.llm.toxicity import drop_toxic
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of repeated passages; n_chars follows the text."""
-    return with_length(without_repeats(docs, Scratch(spark, "stage-spans")).drop("n_sentences", "n_removed"))
+    return with_length(drop_repeats(docs, Scratch(spark, "stage-spans")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
