@@ -24,12 +24,16 @@ from .storage import Scratch
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: The separators of words, and the symbols that are counted.
-WHITE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
-_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WHITE, WORD, SYMBOLS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", "[#*$%&|<>]"
 
 
-def _count(text: str, what: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, what, ""))
+def _count(text: str, characters: str) -> Column:
+    return F.regexp_count(F.col(text), F.lit(characters))
+
+
+def _joined(hashes: str, apart: int) -> Column:
+    """Hashes of runs of twice the length, from those of two runs that begin so far apart."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(F.col(hashes), i + apart)))
 
 
 def _covered(grams: str) -> Column:
@@ -52,9 +56,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the contract, and those that only rules use; all long."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     t = t.withColumn("words", F.filter(F.split("t", WHITE + "+"), lambda w: w != ""))
-    t = t.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(F.lit(" \t\n\u000b\f\r"), x)) > 0))
+    t = t.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
     t = t.select("doc_id", "t", "words", "lines", F.size("words").alias("n_words"))
-    grams = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
+    t = t.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    t = t.withColumn("by2", _joined("hashes", 1))
+    t = t.withColumn("by4", _joined("by2", 2))
+    t = t.withColumn("by8", _joined("by4", 4))
+    grams = F.when(F.col("n_words") >= WINDOW, F.slice("by8", F.lit(1), F.col("n_words") - (WINDOW - 1)))
     t = t.select(
         "doc_id",
         "n_words",
@@ -63,9 +71,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         _count("t", SYMBOLS).alias("n_symbols"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.size(F.array_distinct("words")).alias("n_distinct"),
-        _count("t", _LETTERS).alias("n_capitals"),
-        _count("t", "!?").alias("n_calls"),
+        F.size(F.array_distinct("hashes")).alias("n_distinct"),
+        _count("t", "[A-Z]").alias("n_capitals"),
+        _count("t", "[!?]").alias("n_calls"),
     )
     repeat = F.when(F.size(F.array_distinct("grams")) < F.size("grams"), _covered("grams")).otherwise(0)
     t = t.withColumn("n_repeat_words", repeat).drop("grams")
