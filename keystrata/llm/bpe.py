@@ -18,10 +18,12 @@ Null texts count as empty; an empty or all-white text has no ids and decodes to
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -63,6 +65,12 @@ class Vocabulary:
         self._words = regex.compile(pattern).findall
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
+    @cached_property
+    def _stops(self) -> dict[str, bytes]:
+        """Ids of the stops that the pattern parts from a word before them."""
+        own = [c for c in ".,;:!?" if self._words("a" + c) == ["a", c]]
+        return dict(zip(own, self.encode_words(own), strict=True))
+
     def pieces(self, chunk: str) -> list[str | int]:
         """Pre-tokens of a string without white space, in lower case; special tokens as their ids."""
         if not (self._split and "<" in chunk):
@@ -75,12 +83,35 @@ class Vocabulary:
 
     def encode_chunks(self, raw: list[str]) -> list[bytes]:
         """Ids of each string without white space, as little-endian unsigned 32-bit integers."""
-        known: dict[str | int, int] = {}
-        plan = [[known.setdefault(x, len(known)) for x in self.pieces(chunk)] for chunk in raw]
-        words = [x for x in known if isinstance(x, str)]
-        made = dict(zip(words, self.encode_words(words), strict=True))
-        ids = [made[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in known]
-        return [ids[own[0]] if len(own) == 1 else b"".join([ids[i] for i in own]) for own in plan]
+        out: list[bytes] = [b""] * len(raw)
+        whole: list[int] = []
+        words: list[str] = []  # of chunks that are one word each, or one and a stop, then of the others
+        rest: list[tuple[int, list[str | int]]] = []
+        stops, tails = self._stops, []
+        for k, chunk in enumerate(raw):
+            low = chunk.lower() if chunk.isascii() else _lower(chunk)
+            if low.isalpha():
+                whole.append(k)
+                words.append(low)
+                tails.append(b"")
+            elif low[-1] in stops and low[:-1].isalpha():
+                whole.append(k)
+                words.append(low[:-1])
+                tails.append(stops[low[-1]])
+            else:
+                rest.append((k, self.pieces(chunk)))
+        known: dict[str, int] = {}
+        for _, own in rest:
+            for x in own:
+                if isinstance(x, str) and x not in known:
+                    known[x] = len(words)
+                    words.append(x)
+        made = self.encode_words(words)
+        for k, ids, tail in zip(whole, made, tails):
+            out[k] = ids + tail
+        for k, own in rest:
+            out[k] = b"".join([made[known[x]] if isinstance(x, str) else x.to_bytes(4, "little") for x in own])
+        return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -294,35 +325,33 @@ class LibraryBpe(Vocabulary):
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         tokenize, symbols = self._library.model.tokenize, self._symbols
-        return [array("I", [t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(symbols))]).tobytes() for w in words]
+        plain = lambda w: w.isascii() and w.isprintable()  # noqa: E731  bytes that are their own symbols
+        made = [tokenize(w if plain(w) else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(symbols)) for w in words]
+        return [array("I", [t.id for t in tokens]).tobytes() for tokens in made]
 
 
 class Encoder:
-    """Whole texts by way of chunks, with a memo of two generations of at most ``memo`` chunks each."""
+    """Whole texts by way of chunks, with a memo of two generations of some more than ``memo`` chunks each."""
 
-    def __init__(self, backend, memo: int = 500_000, step_chars: int = 2_000_000):
+    def __init__(self, backend, memo: int = 200_000, step_chars: int = 1_000_000):
         self._backend, self._memo, self._step = backend, memo, step_chars
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def _look_up(self, words: set[str]) -> dict[str, bytes]:
-        young, old, found, missing = self._young, self._old, {}, []
-        for w in words:
-            x = young.get(w)
-            if x is None:
-                x = old.get(w)
-                if x is None:
-                    missing.append(w)
-                    continue
-                young[w] = x
-            found[w] = x
-        for w, x in zip(missing, self._backend.encode_chunks(missing), strict=True):
-            found[w] = x
-            if len(w) <= 64:
-                young[w] = x
-        if len(young) > self._memo:
-            self._old, self._young = young, {}
-        return found
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The young generation, with all of ``words`` in it."""
+        young, old = self._young, self._old
+        new = words.difference(young)
+        young.update((w, old[w]) for w in new.intersection(old))
+        missing = list(new.difference(old))
+        young.update(zip(missing, self._backend.encode_chunks(missing), strict=True))
+        return young
+
+    def _forget(self, words: set[str]) -> None:
+        for w in [w for w in words if len(w) > 64]:
+            del self._young[w]
+        if len(self._young) > self._memo:
+            self._old, self._young = self._young, {}
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn, as little-endian unsigned 32-bit integers."""
@@ -337,9 +366,17 @@ class Encoder:
         yield from self._flush(held)
 
     def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
-        known = self._look_up(set().union(*held))
-        for words in held:
-            yield b"".join(map(known.__getitem__, words))
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes a cycle, and looking for some in the memo takes a fifth of the time
+        try:
+            words = set().union(*held)
+            known = self._learn(words)
+            made = [b"".join(map(known.__getitem__, own)) for own in held]
+            self._forget(words)
+        finally:
+            if collecting:
+                gc.enable()
+        yield from made
 
     def decode(self, ids: bytes) -> str:
         return self._backend.decode(ids)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .storage import sliced
 
 #: Fixed values of the frame's masked checksum.
 MASK_TURN, MASK_ADD = 15, 0xA282EAD8
@@ -89,7 +90,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
     def encode(batches):
         enc, codec = encoder(vocabulary, library=True), _Codec()
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
             bodies = [codec.body(x) for x in ids]
             doc_id = batch.column("doc_id")
@@ -160,6 +161,19 @@ def read_record(path: str, data: str, index: str, k: int) -> tuple[int | None, n
     return (doc_id if flags & 1 else None), _Codec().ids(bool(flags & 2), payload[_HEAD.size :])
 
 
+def _held(records: Iterator[tuple[int | None, np.ndarray]], size: int = 1 << 20) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """Records by the list, of little more than ``size`` ids each."""
+    held, n = [], 0
+    for record in records:
+        held.append(record)
+        n += len(record[1]) + 16
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _placed(manifest: DataFrame) -> DataFrame:
     """Each file with the number of ids before it; one row for each file, each in a task of its own."""
     order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -174,9 +188,11 @@ def read_records(manifest: DataFrame, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for _, data, index, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for doc_id, ids in read_file(path, data, index):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([start], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
-                    start += len(ids)
+                for held in _held(read_file(path, data, index)):
+                    ends = np.cumsum([0, *(len(ids) for _, ids in held)])
+                    own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([ids for _, ids in held]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array(ends[:-1] + start, pa.int64()), own], ["doc_id", "start", "ids"])
+                    start += int(ends[-1])
 
     return _placed(manifest).mapInArrow(read, "doc_id long, start long, ids array<int>")
 
@@ -187,11 +203,11 @@ def read_digests(manifest: DataFrame, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for _, data, index, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
-                for doc_id, ids in read_file(path, data, index):
-                    rows.append((doc_id, start, len(ids), crc32(ids.tobytes())))
-                    start += len(ids)
-                if rows:
+                for held in _held(read_file(path, data, index)):
+                    rows = []
+                    for doc_id, ids in held:
+                        rows.append((doc_id, start, len(ids), crc32(ids)))
+                        start += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return _placed(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
+from .storage import sliced
 
 #: The vocabulary of the contract's queries.
 WORD_BPE = "word_bpe_49k.json"
@@ -65,7 +66,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, of_ids, of_text = [], [], []
             for ids in enc.encode(batch.column("text").to_pylist()):
                 counts.append(len(ids) // 4)
