@@ -57,3 +57,19 @@ def comparable_bytes(key: Column) -> Column:
 
 def quorum(n: Column) -> Column:
     return F.floor(n / 2).cast("long") + 1
+
+
+def same_table(a: Column, b: Column, length: int) -> Column:
+    """Both are table keys (``t`` first) of one table: equal in their first ``length`` characters."""
+    return a.startswith("t") & b.startswith("t") & (F.length(a) >= length) & (F.substring(a, 1, length) == F.substring(b, 1, length))
+
+
+def next_table(key: Column, length: int) -> Column:
+    """The first key after all of a key's table; a key too short to name one counts as of table 0."""
+    number = F.when(F.length(key) >= length, F.substring(key, 2, length - 1).cast("long")).otherwise(0)
+    return F.concat(F.lit("t"), F.lpad((number + 1).cast("string"), length - 1, "0"))
+
+
+def raw_bounds(start: Column, end: Column) -> tuple[Column, Column]:
+    """Bounds that are always there: the least and the greatest data key in place of empty ones."""
+    return F.coalesce(F.nullif(start, F.lit("")), F.lit("t")), F.coalesce(F.nullif(end, F.lit("")), F.lit("u"))

@@ -53,15 +53,14 @@ def progress(rows: DataFrame) -> DataFrame:
 def replies(entries: DataFrame, callbacks: DataFrame) -> DataFrame:
     """Callbacks (region_id, idx, term) by what became of them: done, stale (overtaken) or waiting."""
     last = entries.groupBy("region_id").agg(F.max("idx").alias("last"))
-    both = callbacks.join(entries.select("region_id", "idx", F.col("term").alias("own")), ["region_id", "idx"], "left").join(F.broadcast(last), "region_id")
+    both = callbacks.join(entries.select("region_id", "idx", F.col("term").alias("own")), ["region_id", "idx"], "left").join(last, "region_id")
     state = F.when(F.col("own") == F.col("term"), "done").when(F.col("idx") <= F.col("last"), "stale").otherwise("waiting")
     return both.select("region_id", "idx", state.alias("reply"))
 
 
 def applied(entries: DataFrame, applied_idx: DataFrame) -> DataFrame:
     """Entries that their region has applied already."""
-    marks = F.broadcast(applied_idx)
-    return entries.join(marks, (entries["region_id"] == marks["region_id"]) & (entries["idx"] <= marks["applied_idx"]), "left_semi")
+    return entries.join(applied_idx, (entries["region_id"] == applied_idx["region_id"]) & (entries["idx"] <= applied_idx["applied_idx"]), "left_semi")
 
 
 def size_after_compaction(size: Column, total: Column, left: Column) -> Column:

@@ -68,11 +68,20 @@ def split_requests(requests: DataFrame, regions: DataFrame) -> DataFrame:
     return both.select("request_id", verdict.alias("verdict"))
 
 
-def leases(grants: DataFrame, now: int, length: int) -> DataFrame:
-    """grants (peer_id, at): a lease lasts from its latest grant; within a tenth of the end it is suspect."""
-    out = grants.groupBy("peer_id").agg(F.max("at").alias("last"))
-    left = F.col("last") + length - now
-    return out.select("peer_id", F.when(left <= 0, "expired").when(left * 10 < length, "suspect").otherwise("valid").alias("lease"))
+def leases(events: DataFrame, now: DataFrame, length: int) -> DataFrame:
+    """events (peer_id, seq, sent, suspect): renewals and suspicions of leases, in their order; now: one row (now).
+
+    A lease is bound to the time a message was sent plus ``length``.  A suspicion ends it and holds until a renewal
+    with a later bound; a renewal of a valid lease counts if its bound is later.  So only the last suspicion of
+    a peer matters, and of the renewals after it the one with the latest bound.
+    """
+    rows = events.select("peer_id", "seq", "suspect", (F.col("sent") + length).alias("bound"))
+    last = rows.where("suspect").groupBy("peer_id").agg(F.max_by(F.struct("seq", "bound"), "seq").alias("held"))
+    both = rows.join(last, "peer_id", "left")
+    counts = ~F.col("suspect") & (F.col("held").isNull() | ((F.col("seq") > F.col("held.seq")) & (F.col("bound") > F.col("held.bound"))))
+    out = both.groupBy("peer_id").agg(F.max(F.when(counts, F.col("bound"))).alias("bound"), F.bool_or(F.col("held").isNotNull()).alias("held"))
+    state = F.when(F.col("bound").isNull() & F.col("held"), "suspect").when(F.col("bound") > F.col("now"), "valid").otherwise("expired")
+    return out.crossJoin(now).select("peer_id", state.alias("lease"))  # with one row
 
 
 def stream_pieces(parts: DataFrame, chunk: int) -> DataFrame:

@@ -124,6 +124,13 @@ def split_keys_by_size(rows: DataFrame, per: int, most: int = 0) -> DataFrame:
     return rows.select("region_id", "seq", "size").repartition(parts, "region_id").sortWithinPartitions("region_id", "seq").mapInPandas(scan, "region_id long, seq long")
 
 
+def split_keys(by_size: DataFrame, by_count: DataFrame) -> DataFrame:
+    """(region_id, seq) of both checks: a region's cuts by size if it has any, else those by count."""
+    own = by_size.select("region_id", "seq", F.lit("size").alias("by"))
+    rest = by_count.select("region_id", "seq", F.lit("count").alias("by")).join(by_size.select("region_id").distinct(), "region_id", "left_anti")
+    return own.unionByName(rest)
+
+
 def split_keys_by_table(rows: DataFrame) -> DataFrame:
     """rows (table_id, k): the first key of each table after the first."""
     return rows.groupBy("table_id").agg(F.min("k").alias("k")).where(F.col("table_id") > rows.agg(F.min("table_id")).head()[0])

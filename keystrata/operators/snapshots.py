@@ -41,22 +41,53 @@ def names(files: DataFrame) -> DataFrame:
 
 
 def idle_order(files: DataFrame) -> DataFrame:
-    """Place of each file: region, term, index, received before sent."""
-    order = Window.orderBy("region_id", "term", "idx", "is_sending")
-    return files.withColumn("place", F.row_number().over(order).cast("long"))
+    """Place of each file: region, term, index, received before sent.  Files are numbered within their region; what
+    lies before it comes from a table of one row for each region."""
+    counts = files.groupBy("region_id").agg(F.count("*").alias("n"))
+    before = counts.select("region_id", (F.sum("n").over(Window.orderBy("region_id")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("region_id").orderBy("term", "idx", "is_sending"))
+    return files.withColumn("own", own).join(before, "region_id").withColumn("place", (F.col("own") + F.col("before")).cast("long")).drop("own", "before")
 
 
-def evict_oldest(files: DataFrame, most: int) -> DataFrame:
-    """files (name, mtime, size, is_sending): the oldest sent ones that must go until all sizes are at most ``most``."""
+def evict_oldest(files: DataFrame, most: int, span: int = 1024) -> DataFrame:
+    """files (name, mtime, size, is_sending): the oldest sent ones that must go until all sizes are at most ``most``.
+
+    The running size is taken within spans of time, on top of a table of one row for each span.
+    """
     total = files.agg(F.sum("size").alias("total"))
-    order = Window.orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)
-    sent = files.where("is_sending").withColumn("freed", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    return sent.join(F.broadcast(total)).where(F.col("total") - F.col("freed") > most).select("name")
+    sent = files.where("is_sending").withColumn("span", F.floor(F.col("mtime") / span))
+    sums = sent.groupBy("span").agg(F.sum("size").alias("n"))
+    before = sums.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))
+    own = Window.partitionBy("span").orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)
+    sent = sent.withColumn("own", F.coalesce(F.sum("size").over(own), F.lit(0))).join(before, "span")
+    return sent.crossJoin(total).where(F.col("total") - F.col("before") - F.col("own") > most).select("name")  # with one row
+
+
+def save(families: DataFrame, path: str) -> DataFrame:
+    """Writes the families as files below ``path`` and, when they are all there, their manifest; returns the manifest."""
+    families.write.mode("overwrite").partitionBy("cf").parquet(f"{path}/data")
+    spark = families.sparkSession
+    _sums(spark.read.schema(families.schema).parquet(f"{path}/data")).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def open_saved(spark, path: str) -> DataFrame:
+    """The families of a snapshot; ValueError unless they are as the manifest says (none: the snapshot is not complete)."""
+    families, want = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/manifest")
+    if not _sums(families).exceptAll(want).isEmpty() or not want.select("cf").exceptAll(families.select("cf").distinct()).isEmpty():
+        raise ValueError(f"the snapshot at {path} differs from its manifest")
+    return families
+
+
+def _sums(families: DataFrame) -> DataFrame:
+    """Rows and an order-free checksum of each family."""
+    columns = sorted(c for c in families.columns if c != "cf")
+    return families.groupBy("cf").agg(F.count("*").alias("n_rows"), F.expr(f"bit_xor(xxhash64({', '.join(columns)}))").alias("checksum"))
 
 
 def collectable(files: DataFrame, state: DataFrame, now: int, timeout: int) -> DataFrame:
     """Why a snapshot file may go: compacted, expired or applied (state: region_id, truncated_idx, truncated_term, applying)."""
-    both = files.join(F.broadcast(state), "region_id")
+    both = files.join(state, "region_id")
     term, idx = F.col("term"), F.col("idx")
     why = F.when(F.col("is_sending"), F.when((term < F.col("truncated_term")) | (idx < F.col("truncated_idx")), "compacted").when(now - F.col("mtime") > timeout, "expired"))
     why = why.when((term <= F.col("truncated_term")) & ((idx < F.col("truncated_idx")) | ((idx == F.col("truncated_idx")) & ~F.col("applying"))), "applied")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import cluster, logs, members, ranges, snapshots, versions
+from ..operators import cluster, logs, members, ranges, requests, snapshots, versions
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,9 +63,9 @@ def q_range_scan_all_versions(spark, sf_dir):
     return versions.in_range(T.mutations(spark, sf_dir), LOW, HIGH).select("k", "commit_ts", "op", "value")
 
 
-@query("SELECT r.region_id, NOT EXISTS (SELECT 1 FROM mutations m WHERE m.op = 'L' AND m.event_id % 1000 = 1 AND m.k >= r.start_key AND (r.end_key = '' OR m.k < r.end_key)) AS is_empty FROM regions r")
+@query("SELECT r.region_id, NOT EXISTS (SELECT 1 FROM mutations m WHERE m.op = 'L' AND m.k >= r.start_key AND (r.end_key = '' OR m.k < r.end_key)) AS is_empty FROM regions r")
 def q_range_empty(spark, sf_dir):
-    rows = T.mutations(spark, sf_dir).where("op = 'L' AND event_id % 1000 = 1").select("k")
+    rows = T.mutations(spark, sf_dir).where("op = 'L'").select("k")
     regions = T.regions(spark, sf_dir)
     full = ranges.locate(rows, regions).select("region_id").distinct().withColumn("full", F.lit(True))
     return regions.join(full, "region_id", "left").select("region_id", F.col("full").isNull().alias("is_empty"))
@@ -148,9 +148,9 @@ def q_lock_write_merge(spark, sf_dir):
     return versions.merge_locks_and_writes(_open(spark, sf_dir), T.mutations(spark, sf_dir).where("op = 'D'"))
 
 
-@query("SELECT user_id % 256 AS slot, count(DISTINCT event_id) AS n_txns FROM mutations WHERE event_id % 40 < 10 GROUP BY 1 HAVING count(DISTINCT event_id) > 1")
+@query("SELECT user_id % 256 AS slot, count(DISTINCT event_id) AS n_txns FROM mutations GROUP BY 1 HAVING count(DISTINCT event_id) > 1")
 def q_latch_conflicts(spark, sf_dir):
-    rows = T.mutations(spark, sf_dir).where("event_id % 40 < 10").withColumnRenamed("event_id", "txn")
+    rows = T.mutations(spark, sf_dir).withColumnRenamed("event_id", "txn")
     return cluster.latch_conflicts(rows, F.expr("cast(substring(k, 2) AS bigint)") % 256)
 
 
@@ -404,11 +404,11 @@ def q_snapshot_cf_stats(spark, sf_dir):
     return snapshots.family_statistics(_families(spark, sf_dir))
 
 
-_FILES = "files AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'gen' ELSE 'rev' END || '_' || region_id || '_' || term || '_' || idx AS name, event_id AS mtime, size, event_id % 2 = 0 AS is_sending, region_id, term, idx FROM log WHERE event_id % 50 IN (0, 1))"
+_FILES = "files AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'gen' ELSE 'rev' END || '_' || region_id || '_' || term || '_' || idx AS name, event_id AS mtime, size, event_id % 2 = 0 AS is_sending, region_id, term, idx FROM log)"
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    rows = T.log(spark, sf_dir).where("event_id % 50 IN (0, 1)")
+    rows = T.log(spark, sf_dir)
     name = F.concat_ws("_", F.when(F.col("event_id") % 2 == 0, "gen").otherwise("rev"), *(F.col(c).cast("string") for c in ("region_id", "term", "idx")))
     return snapshots.names(rows.select(name.alias("name"), F.col("event_id").alias("mtime"), "size"))
 
@@ -582,18 +582,18 @@ def q_message_checks(spark, sf_dir):
     return members.message_checks(messages, _with_peers(spark, sf_dir).where("region_id % 5 <> 4"))
 
 
-@query("SELECT region_id, idx, idx >= 300 AND 1 + idx % 2 >= 1 + region_id % 2 AS valid FROM log WHERE event_id % 10 = 3")
+@query("SELECT region_id, idx, idx >= 300 AND 1 + idx % 2 >= 1 + region_id % 2 AS valid FROM log")
 def q_snapshot_validity(spark, sf_dir):
-    rows = T.log(spark, sf_dir).where("event_id % 10 = 3").join(T.regions(spark, sf_dir).select("region_id", "conf_version"), "region_id")
+    rows = T.log(spark, sf_dir).join(T.regions(spark, sf_dir).select("region_id", "conf_version"), "region_id")
     return rows.select("region_id", "idx", members.snapshot_valid(F.col("idx"), 1 + F.col("idx") % 2, F.lit(300), F.col("conf_version")).alias("valid"))
 
 
 @query("""SELECT count(*) FILTER (WHERE o) AS n_sending, count(*) FILTER (WHERE i) AS n_receiving FROM
-(SELECT user_id, bool_or(event_id % 7 < 2) AS o, bool_or(event_id % 7 IN (2, 3)) AS i FROM mutations WHERE event_id % 31 = 0 GROUP BY user_id)""")
+(SELECT user_id, bool_or(event_id % 7 < 2) AS o, bool_or(event_id % 7 IN (2, 3)) AS i FROM mutations GROUP BY user_id)""")
 def q_snapshot_registry(spark, sf_dir):
     m = F.col("event_id") % 7
     state = F.when(m == 0, "generating").when(m == 1, "sending").when(m == 2, "receiving").when(m == 3, "applying").otherwise("idle")
-    return members.registry(T.mutations(spark, sf_dir).where("event_id % 31 = 0").select(F.col("user_id").alias("name"), state.alias("state")))
+    return members.registry(T.mutations(spark, sf_dir).select(F.col("user_id").alias("name"), state.alias("state")))
 
 
 @query(f", {_PEERS} SELECT region_id, least(min(matched), max(last_idx)) AS replicated_idx, coalesce(min(CASE WHEN seen > 7500 AND matched >= truncated THEN matched END), max(last_idx)) AS alive_idx FROM peers GROUP BY 1")
@@ -617,9 +617,14 @@ def q_split_validation(spark, sf_dir):
     return members.split_requests(regions.select(n.alias("request_id"), "region_id", cuts.alias("cuts")), regions)
 
 
-@query("SELECT user_id AS peer_id, CASE WHEN max(event_id) + 500 - 10000 <= 0 THEN 'expired' WHEN (max(event_id) + 500 - 10000) * 10 < 500 THEN 'suspect' ELSE 'valid' END AS lease FROM events GROUP BY 1", with_="")
+@query("""WITH e AS (SELECT user_id AS peer_id, event_id AS seq, event_id - CAST(floor(value) AS BIGINT) + 500 AS bound, event_type = 'error' AS bad FROM events),
+s AS (SELECT peer_id, max(seq) AS so FROM e WHERE bad GROUP BY 1), sb AS (SELECT e.peer_id, e.seq AS so, e.bound AS sb FROM e JOIN s ON e.peer_id = s.peer_id AND e.seq = s.so),
+g AS (SELECT e.peer_id, max(CASE WHEN NOT bad AND (so IS NULL OR (seq > so AND bound > sb)) THEN bound END) AS b, bool_or(so IS NOT NULL) AS had FROM e LEFT JOIN sb ON sb.peer_id = e.peer_id GROUP BY 1)
+SELECT peer_id, CASE WHEN b IS NULL AND had THEN 'suspect' WHEN b > (SELECT max(event_id) FROM events) THEN 'valid' ELSE 'expired' END AS lease FROM g""", with_="")
 def q_leases(spark, sf_dir):
-    return members.leases(T.events(spark, sf_dir).select(F.col("user_id").alias("peer_id"), F.col("event_id").alias("at")), 10_000, 500)
+    e = T.events(spark, sf_dir)
+    rows = e.select(F.col("user_id").alias("peer_id"), F.col("event_id").alias("seq"), (F.col("event_id") - F.floor("value")).alias("sent"), (F.col("event_type") == "error").alias("suspect"))
+    return members.leases(rows, e.agg(F.max("event_id").alias("now")), 500)
 
 
 @query(""", parts AS (SELECT region_id AS part, CAST(sum(size) AS BIGINT) AS size FROM mutations WHERE region_id % 3 <> 2 GROUP BY 1),
@@ -647,3 +652,82 @@ def q_error_kinds(spark, sf_dir):
     kind = F.col("kind")
     wire = F.when(kind == "click", "not-leader").when(kind == "view", "epoch-not-match").when(kind == "purchase", "server-is-busy").otherwise("other")
     return T.events(spark, sf_dir).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")).select("kind", wire.alias("wire"), "n")
+
+
+# -- commands -------------------------------------------------------------------------------
+
+
+def _steps(spark, sf_dir) -> DataFrame:
+    return requests.steps(T.requests(spark, sf_dir))
+
+
+@query(T.STEPS_SQL + " SELECT cmd, step, k, start_ts, has_default FROM steps")
+def q_request_steps(spark, sf_dir):
+    return _steps(spark, sf_dir).select("cmd", "step", "k", "start_ts", "has_default")
+
+
+@query(T.STEPS_SQL + """ SELECT c.cmd, c.k, c.start_ts, CASE WHEN p.step = 'prewrite' THEN 'ok' ELSE 'no-lock' END AS status
+FROM steps c JOIN steps p ON p.cmd = c.start_ts WHERE c.step = 'commit'""")
+def q_commit_status(spark, sf_dir):
+    return requests.commit_status(_steps(spark, sf_dir))
+
+
+@query(T.STEPS_SQL + f""" SELECT k, s AS start_ts FROM (SELECT k, arg_max(step, cmd) AS step, arg_max(start_ts, cmd) AS s FROM steps WHERE cmd <= {AT} AND step <> 'error' GROUP BY k) WHERE step = 'prewrite'""")
+def q_lock_replay(spark, sf_dir):
+    """Locks after the log is replayed up to an applied command."""
+    return requests.locks_after(_steps(spark, sf_dir), AT)
+
+
+@query(T.STEPS_SQL + " SELECT k, start_ts, CASE WHEN has_default THEN value END AS value, false AS broken FROM steps WHERE step = 'prewrite'")
+def q_lock_values(spark, sf_dir):
+    rows = T.requests(spark, sf_dir)
+    return requests.lock_values(requests.steps(rows), rows.where("kind = 'put' AND cf = 'default'").select("k", "start_ts", "value"))
+
+
+@query("""SELECT region_id, event_id, coalesce(k < before OR (k = before AND commit_ts >= ts), false) AS refused FROM (SELECT region_id, event_id, k, commit_ts, lag(k) OVER w AS before, lag(commit_ts) OVER w AS ts
+FROM mutations WINDOW w AS (PARTITION BY region_id ORDER BY event_id))""")
+def q_key_order(spark, sf_dir):
+    """Which rows a writer refuses that wants keys rising, and versions of a key falling."""
+    order = F.struct("k", (-F.col("commit_ts")).alias("minus"))
+    return requests.order_violations(T.mutations(spark, sf_dir), "region_id", "event_id", order).select("region_id", "event_id", "refused")
+
+
+@query("""SELECT substr(k, 1, 10) AS prefix, 't' || lpad(CAST(CAST(substr(k, 2, 9) AS BIGINT) + 1 AS VARCHAR), 9, '0') AS next_table, count(*) AS n, count(*) FILTER (WHERE same) AS n_same
+FROM (SELECT k, coalesce(substr(lag(k) OVER (PARTITION BY region_id ORDER BY event_id), 1, 10) = substr(k, 1, 10), false) AS same FROM mutations) GROUP BY 1, 2""")
+def q_table_prefixes(spark, sf_dir):
+    """Keys by table: where the next table begins, and how many follow a key of the same one."""
+    from pyspark.sql import Window
+
+    last = F.lag("k").over(Window.partitionBy("region_id").orderBy("event_id"))
+    rows = T.mutations(spark, sf_dir).select("k", last.alias("last"))
+    same = F.coalesce(K.same_table(F.col("last"), F.col("k"), 10), F.lit(False))
+    return rows.groupBy(F.substring("k", 1, 10).alias("prefix"), K.next_table(F.col("k"), 10).alias("next_table")).agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
+
+
+@query("SELECT m.region_id, count(*) AS n_rows, CASE WHEN start_key = '' THEN 't' ELSE start_key END AS raw_start, CASE WHEN end_key = '' THEN 'u' ELSE end_key END AS raw_end FROM mutations m JOIN regions r ON r.region_id = m.region_id GROUP BY 1, 3, 4")
+def q_raw_bounds(spark, sf_dir):
+    start, end = K.raw_bounds(F.col("start_key"), F.col("end_key"))
+    rows = T.mutations(spark, sf_dir).groupBy("region_id").agg(F.count("*").alias("n_rows"))
+    return rows.join(T.regions(spark, sf_dir), "region_id").select("region_id", "n_rows", start.alias("raw_start"), end.alias("raw_end"))
+
+
+@query("SELECT region_id, count(*) AS n_locks FROM mutations WHERE op = 'L' AND region_id NOT IN (SELECT region_id FROM mutations WHERE value > 400) GROUP BY 1")
+def q_snapshots_not_queued(spark, sf_dir):
+    """Regions with locks to take over, less those queued already for their large values."""
+    rows = T.mutations(spark, sf_dir)
+    queued = rows.where("value > 400").select("region_id").distinct()
+    return rows.where("op = 'L'").join(queued, "region_id", "left_anti").groupBy("region_id").agg(F.count("*").alias("n_locks"))
+
+
+@query(f"""SELECT region_id, seq, 'size' AS "by" FROM ({ORACLES['q_split_by_size']}) UNION ALL
+SELECT region_id, seq, 'count' FROM ({ORACLES['q_split_by_keys']}) WHERE region_id NOT IN (SELECT region_id FROM ({ORACLES['q_split_by_size']}))""", with_="")
+def q_split_check(spark, sf_dir):
+    return ranges.split_keys(q_split_by_size(spark, sf_dir), q_split_by_keys(spark, sf_dir))
+
+
+@query(_FAMILIES + " SELECT cf, k, ts, start_ts, op, value FROM families")
+def q_snapshot_files(spark, sf_dir):
+    """The snapshot written as files with a manifest, checked, and read back."""
+    path = T.shared_folder(spark, "snapshot")
+    snapshots.save(_families(spark, sf_dir), path)
+    return snapshots.open_saved(spark, path).select("cf", "k", "ts", "start_ts", "op", "value")

@@ -7,6 +7,9 @@ log:       region_id, idx, term, size, event_id
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,40 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("term", (1 + F.floor(F.col("idx") / 500)).cast("long"))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the transactions of ``mutations`` send: a command at start_ts and one at commit_ts, of one to three requests.
+
+    Values above 100 lie in the default family; of those, ``error`` events lost their lock, ``view`` events are never
+    committed, and lock-only ``signup`` events are collected as garbage when they commit.
+    """
+    rows = events(spark, sf_dir).select("event_id", "event_type").join(mutations(spark, sf_dir), "event_id")
+    op, kind, large = F.col("op"), F.col("event_type"), F.col("value") > 100
+
+    def one(what: str, cf: str, rollback: Column | bool = False) -> Column:
+        return F.struct(F.lit(what).alias("kind"), F.lit(cf).alias("cf"), (rollback if isinstance(rollback, Column) else F.lit(rollback)).alias("rollback"))
+
+    first = F.array(F.when(large, one("put", "default")), F.when(~(large & (kind == "error")), one("put", "lock")))
+    write = F.array(F.when((op == "L") & (kind == "signup"), one("delete", "write")), F.when((op == "R") & large, one("delete", "default")), one("put", "write", op == "R"), one("delete", "lock"))
+    second = F.when((op == "P") & (kind == "view"), F.array().cast(write_type())).otherwise(write)
+    both = F.explode(F.array(F.struct(F.col("start_ts").alias("cmd"), first.alias("sent")), F.struct(F.col("commit_ts").alias("cmd"), second.alias("sent"))))
+    out = rows.select("k", "start_ts", "region_id", "value", both.alias("c")).select("*", F.posexplode(F.filter("c.sent", lambda x: x.isNotNull())).alias("pos", "r"))
+    return out.select(F.col("c.cmd").alias("cmd"), "pos", "r.kind", "r.cf", "r.rollback", "k", "start_ts", "region_id", "value")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; in local mode a temporary one where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="keystrata-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_type() -> str:
+    return "array<struct<kind:string,cf:string,rollback:boolean>>"
+
+
 #: The same in DuckDB's SQL, as common table expressions.
 SQL = """
 mutations AS (
@@ -72,3 +109,13 @@ log AS (
   SELECT *, CAST(1 + floor(idx / 500) AS BIGINT) AS term
   FROM (SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY event_id) AS idx, size, event_id, k, op FROM mutations))
 """
+
+#: What the requests amount to, told from the events themselves.
+STEPS_SQL = """, steps AS (
+  SELECT m.start_ts AS cmd, CASE WHEN m.value > 100 AND e.event_type = 'error' THEN 'error' ELSE 'prewrite' END AS step, m.k, m.start_ts, m.value > 100 AS has_default, m.region_id, m.value
+  FROM mutations m JOIN events e ON e.event_id = m.event_id
+  UNION ALL
+  SELECT m.commit_ts, CASE WHEN m.op = 'R' THEN 'rollback' ELSE 'commit' END, m.k, m.start_ts, m.op = 'R' AND m.value > 100, m.region_id, m.value
+  FROM mutations m JOIN events e ON e.event_id = m.event_id
+  WHERE NOT (m.op = 'P' AND e.event_type = 'view') AND NOT (m.op = 'L' AND e.event_type = 'signup'))
+"""
