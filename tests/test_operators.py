@@ -140,3 +140,92 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_leases_by_replay(spark):
+    import random
+
+    from keystrata.operators import members
+
+    draw, rows = random.Random(3), []
+    for peer in range(40):
+        for seq in range(draw.randrange(1, 12)):
+            rows.append((peer, seq, draw.randrange(100), draw.random() < 0.3))
+    want = {}
+    for peer, seq, sent, suspect in rows:  # in order
+        valid, held = want.get(peer, (None, None))
+        bound = sent + 50
+        if suspect:
+            valid, held = None, bound
+        elif held is not None:
+            if held < bound:
+                valid, held = bound, None
+        elif valid is None or valid < bound:
+            valid = bound
+        want[peer] = valid, held
+    state = lambda valid, held: "suspect" if held is not None else "valid" if valid > 100 else "expired"
+    got = members.leases(spark.createDataFrame(rows, "peer_id long, seq long, sent long, suspect boolean"), spark.createDataFrame([(100,)], "now long"), 50)
+    assert {r.peer_id: r.lease for r in got.collect()} == {p: state(*x) for p, x in want.items()}
+
+
+def test_commands_out_of_order_are_one_error_row(spark):
+    from keystrata.operators import requests
+
+    put, delete = (lambda cf, r=False: ("put", cf, r)), (lambda cf: ("delete", cf, False))
+    commands = {
+        1: ([put("default"), put("lock")], ["prewrite"]),
+        2: ([put("lock"), put("lock")], ["prewrite", "prewrite"]),
+        3: ([put("default")], ["error"]),
+        4: ([put("lock"), put("default"), delete("lock")], ["error"]),
+        5: ([put("write"), delete("lock"), delete("lock")], ["commit", "pessimistic_rollback"]),
+        6: ([put("write")], ["error"]),
+        7: ([put("write", True)], ["rollback"]),
+        8: ([delete("default"), put("write", True), delete("lock"), put("lock")], ["rollback", "prewrite"]),
+        9: ([delete("default"), delete("lock")], ["error"]),
+        10: ([delete("write"), put("lock")], []),
+        11: ([put("lock"), delete("write")], ["prewrite"]),
+        12: ([put("other")], ["error"]),
+    }
+    rows = [(c, p, *r, f"k{p}", 1) for c, (sent, _) in commands.items() for p, r in enumerate(sent)]
+    out = requests.steps(spark.createDataFrame(rows, "cmd long, pos int, kind string, cf string, rollback boolean, k string, start_ts long")).orderBy("cmd", "pos").collect()
+    for c, (_, want) in commands.items():
+        assert [r.step for r in out if r.cmd == c] == want, c
+
+
+def test_rollback_deletes_its_lock(spark):
+    from keystrata.operators import requests
+
+    rows = [(1, "prewrite", "a"), (1, "prewrite", "b"), (1, "prewrite", "c"), (2, "rollback", "a"), (3, "commit", "b"), (4, "prewrite", "b"), (5, "pessimistic_rollback", "c"), (6, "error", "b")]
+    of = spark.createDataFrame([(c, 0, s, k, c, False) for c, s, k in rows], "cmd long, pos int, step string, k string, start_ts long, has_default boolean")
+    left = lambda applied: {r.k: r.start_ts for r in requests.locks_after(of, applied).collect()}
+    assert left(1) == {"a": 1, "b": 1, "c": 1} and left(3) == {"c": 1} and left(9) == {"b": 4}
+    status = {(r.k, r.start_ts): r.status for r in requests.commit_status(of.withColumn("start_ts", of.cmd * 0 + 1)).collect()}
+    assert status == {("b", 1): "ok"}
+
+
+def test_snapshot_without_its_whole_data_is_refused(spark, tmp_path):
+    from keystrata.operators import snapshots
+
+    families = spark.createDataFrame([("write", "a", 1), ("write", "b", 2), ("lock", "c", 3)], "cf string, k string, ts long")
+    path = f"file://{tmp_path}/snapshot"
+    manifest = {r.cf: r.n_rows for r in snapshots.save(families, path).collect()}
+    assert manifest == {"write": 2, "lock": 1}
+    assert sorted(map(str, snapshots.open_saved(spark, path).select("cf", "k", "ts").collect())) == sorted(map(str, families.collect()))
+    families.where("k <> 'b'").write.mode("overwrite").partitionBy("cf").parquet(f"{path}/data")
+    with pytest.raises(ValueError):
+        snapshots.open_saved(spark, path)
+    families.where("cf = 'write'").write.mode("overwrite").partitionBy("cf").parquet(f"{path}/data")
+    with pytest.raises(ValueError):
+        snapshots.open_saved(spark, path)
+
+
+def test_checksums_by_brute_force(spark):
+    import zlib
+
+    from keystrata.plans import catalog
+    from keystrata.sources import tables
+
+    data = "/root/testdata/sf0.001"
+    props = {r.event_id: r.props for r in tables.events(spark, data).collect()}
+    for r in catalog.QUERIES["q_value_crc32"](spark, data).collect():
+        assert (r.crc, r.n_bytes) == (zlib.crc32(props[r.event_id].encode()), len(props[r.event_id].encode()))
