@@ -4,7 +4,8 @@ Texts are equal when identical after deleting white space (U+0020, U+0009-U+000D
 read keeps only a length and the hash of a short prefix of each text; groups of one length, then
 of one prefix hash, that hold one text are done.  The full content is read (hashed with sha-256)
 only for rows of the groups that are left.  Rows of a text with a million copies never meet in
-one task: groups are counted with partial aggregation and joined back as narrow rows.
+one task: groups are counted with partial aggregation and written, then joined back as narrow
+rows, by broadcast within the limit of ``bounded`` and else by a join that Spark splits when skewed.
 
 Null texts count as empty, and all empty ones are equal.  Of equal texts the one with the most
 code points stays, then the smallest doc_id (a null doc_id loses to any other).  Rows that
@@ -69,7 +70,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, digests: bool = False) -
     key = [_LENGTH, _PREFIX, _FULL]
     groups = hashed.groupBy(*key).agg(F.min(F.struct(*_order())).alias("best"), F.count("*").alias("group_size"))
     keep = F.col("best.doc_id")
-    members = hashed.join(groups, key).select(
+    members = hashed.join(bounded(scratch.write(groups, "groups")), key).select(
         "doc_id",
         keep.alias("keep_id"),
         "group_size",
@@ -84,5 +85,6 @@ def drop_exact_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; what length and prefix set apart is not hashed in full."""
     hashed, _ = _hashed(docs, scratch, False)
     key = [_LENGTH, _PREFIX, _FULL]
-    rows = hashed.join(_shared(hashed, *key), key, "left_semi").select("doc_id", "t", "n_chars", F.struct(*key).alias("group"))
-    return without_rows(docs, rows, F.struct(*_order(), "t"), scratch)
+    shared = bounded(scratch.write(_shared(hashed, *key), "shared"))
+    rows = hashed.join(shared, key, "left_semi").select("doc_id", "t", "n_chars", F.struct(*key).alias("group"))
+    return without_rows(docs, scratch.write(rows, "copies"), F.struct(*_order(), "t"), scratch)
