@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from .ordered import running_sum
 
 
 def change_peers(regions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -86,10 +87,7 @@ def leases(events: DataFrame, now: DataFrame, length: int) -> DataFrame:
 
 def stream_pieces(parts: DataFrame, chunk: int) -> DataFrame:
     """parts (part, size) sent one after the other: which bytes of which chunk each one fills."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy("part")
-    ends = parts.where("size > 0").withColumn("end", F.sum("size").over(order)).withColumn("begin", F.col("end") - F.col("size"))
+    ends = running_sum(parts.where("size > 0"), "size", "part", "end").withColumn("begin", F.col("end") - F.col("size"))
     each = ends.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / chunk), F.floor((F.col("end") - 1) / chunk))))
     first = F.greatest(F.col("begin"), F.col("chunk") * chunk)
     return each.select("part", "chunk", (first - F.col("begin")).alias("from_byte"), (F.least(F.col("end"), (F.col("chunk") + 1) * chunk) - first).alias("n_bytes"))

@@ -1,7 +1,6 @@
 """Key ranges (region_id, start_key, end_key): lookup, overlap, coverage, neighbours and splits.
 
-Tables of ranges are small next to their data and are offered for broadcast by Spark's own size
-check; ranges that are disjoint are looked up by an as-of step instead of a range join.
+Ranges that are disjoint are looked up by an as-of step over blocks of neighbouring keys, not by a range join.
 """
 
 from __future__ import annotations
@@ -13,20 +12,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from .ordered import as_of, neighbours, running_sum
+
+
+def _holding(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """keys (key), distinct: each with the one of the disjoint ranges that holds it, as region_id, start_key, end_key."""
+    found = as_of(keys, ranges.select("region_id", "start_key", "end_key"), "start_key").select("key", "point.*")
+    return found.where(K.within(F.col("key"), F.col("start_key"), F.col("end_key")))
 
 
 def locate(rows: DataFrame, ranges: DataFrame, key: str = "k") -> DataFrame:
-    """The range of each row's key: distinct keys meet the ranges, then rows join by key, so that hot keys cost one lookup."""
-    found = rows.select(F.col(key).alias("key")).distinct().join(ranges, K.within(F.col("key"), F.col("start_key"), F.col("end_key")))
+    """The one of the disjoint ranges that holds each row's key: distinct keys are looked up, then rows join by key, so
+    that hot keys cost one lookup."""
+    found = _holding(rows.select(F.col(key).alias("key")).distinct(), ranges)
     return rows.join(found.select(F.col("key").alias(key), "region_id"), key)
 
 
 def members(keys: DataFrame, ranges: DataFrame) -> DataFrame:
-    """For each key how many ranges hold it: half open, open and closed."""
-    k, s, e = F.col("k"), F.col("start_key"), F.col("end_key")
-    both = keys.join(ranges, K.within_closed(k, s, e))
-    count = lambda test: F.sum(test.cast("long"))
-    return both.groupBy("k").agg(count(K.within(k, s, e)).alias("n_half_open"), count(K.strictly_within(k, s, e)).alias("n_open"), F.count("*").alias("n_closed"))
+    """For each distinct key how many of the disjoint ranges hold it: half open, open and closed."""
+    inside = _holding(keys.select(F.col("k").alias("key")), ranges)
+    inside = inside.select(F.col("key").alias("k"), F.lit(1).alias("half_open"), (F.col("key") > F.col("start_key")).cast("int").alias("open"))
+    end = ranges.where("end_key <> '' AND end_key >= start_key").select(F.col("end_key").alias("k"))
+    at_end = keys.select("k").join(end, "k").select("k", F.lit(0).alias("half_open"), F.lit(0).alias("open"))
+    both = inside.unionByName(at_end)
+    return both.groupBy("k").agg(F.sum("half_open").alias("n_half_open"), F.sum("open").alias("n_open"), F.count("*").alias("n_closed"))
+
+
+def exceeding(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """For each range how many of the distinct keys are at or above its end: each key counts at the last end not above
+    it, and ends are summed up from above."""
+    ends = ranges.where("end_key <> ''").groupBy("end_key").agg(F.collect_list("region_id").alias("ids"))
+    at = as_of(keys.select(F.col("k").alias("key")), ends.select("end_key"), "end_key").groupBy(F.col("point.end_key").alias("end_key")).agg(F.count("*").alias("n"))
+    counted = ends.join(at, "end_key", "left").fillna(0, ["n"])
+    below = running_sum(counted, "n", "end_key", "so_far").withColumn("n_exceeding", F.col("n") - F.col("so_far"))
+    return below.crossJoin(at.agg(F.sum("n").alias("total"))).select(F.explode("ids").alias("region_id"), (F.col("n_exceeding") + F.col("total")).alias("n_exceeding")).where("n_exceeding > 0")  # with one row
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,9 +76,8 @@ def coverage(ranges: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def siblings(ranges: DataFrame) -> DataFrame:
-    """The neighbours below and above of each range."""
-    order = Window.orderBy("start_key")  # one row for each range
-    return ranges.select("region_id", F.lag("region_id").over(order).alias("left_id"), F.lead("region_id").over(order).alias("right_id"))
+    """The neighbours below and above of each of the disjoint ranges."""
+    return neighbours(ranges.select("region_id", "start_key"), "region_id", "start_key", "left_id", "right_id").select("region_id", "left_id", "right_id")
 
 
 def split(ranges: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
 from .versions import INLINE_BYTES
 
 
@@ -44,7 +45,7 @@ def idle_order(files: DataFrame) -> DataFrame:
     """Place of each file: region, term, index, received before sent.  Files are numbered within their region; what
     lies before it comes from a table of one row for each region."""
     counts = files.groupBy("region_id").agg(F.count("*").alias("n"))
-    before = counts.select("region_id", (F.sum("n").over(Window.orderBy("region_id")) - F.col("n")).alias("before"))
+    before = running_sum(counts, "n", "region_id", "so_far").select("region_id", (F.col("so_far") - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("region_id").orderBy("term", "idx", "is_sending"))
     return files.withColumn("own", own).join(before, "region_id").withColumn("place", (F.col("own") + F.col("before")).cast("long")).drop("own", "before")
 
@@ -57,7 +58,7 @@ def evict_oldest(files: DataFrame, most: int, span: int = 1024) -> DataFrame:
     total = files.agg(F.sum("size").alias("total"))
     sent = files.where("is_sending").withColumn("span", F.floor(F.col("mtime") / span))
     sums = sent.groupBy("span").agg(F.sum("size").alias("n"))
-    before = sums.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))
+    before = running_sum(sums, "n", "span", "so_far").select("span", (F.col("so_far") - F.col("n")).alias("before"))
     own = Window.partitionBy("span").orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)
     sent = sent.withColumn("own", F.coalesce(F.sum("size").over(own), F.lit(0))).join(before, "span")
     return sent.crossJoin(total).where(F.col("total") - F.col("before") - F.col("own") > most).select("name")  # with one row

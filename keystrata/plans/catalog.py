@@ -245,8 +245,7 @@ def q_key_in_region_exclusive(spark, sf_dir):
 
 @query("SELECT region_id, count(*) AS n_exceeding FROM (SELECT DISTINCT k FROM mutations) JOIN regions ON end_key <> '' AND k >= end_key GROUP BY 1")
 def q_key_exceeds_end(spark, sf_dir):
-    keys, regions = T.mutations(spark, sf_dir).select("k").distinct(), T.regions(spark, sf_dir).where("end_key <> ''")
-    return keys.join(regions, F.col("k") >= F.col("end_key")).groupBy("region_id").agg(F.count("*").alias("n_exceeding"))
+    return ranges.exceeding(T.mutations(spark, sf_dir).select("k").distinct(), T.regions(spark, sf_dir))
 
 
 _SHIFTED = "shifted AS (SELECT region_id, 't' || lpad(CAST(region_id * 25 + 10 AS VARCHAR), 10, '0') AS start_key, 't' || lpad(CAST(region_id * 25 + 30 AS VARCHAR), 10, '0') AS end_key FROM regions)"

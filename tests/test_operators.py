@@ -1,13 +1,19 @@
 """Operators on small literal tables."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from keystrata.functions import keys as K
 from keystrata.operators import logs, ranges, snapshots, versions
+from keystrata.operators.ordered import running_sum
+from keystrata.plans import catalog
 from keystrata.streaming import fold as S
 
+DATA = "/root/testdata/sf0.001"
+
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
@@ -229,3 +235,40 @@ def test_checksums_by_brute_force(spark):
     props = {r.event_id: r.props for r in tables.events(spark, data).collect()}
     for r in catalog.QUERIES["q_value_crc32"](spark, data).collect():
         assert (r.crc, r.n_bytes) == (zlib.crc32(props[r.event_id].encode()), len(props[r.event_id].encode()))
+
+
+@pytest.mark.parametrize("blocks", ("1", "16"))
+def test_steps_in_key_order(spark, blocks):
+    """Against plain loops: disjoint ranges with gaps and keys at their ends, a range that has a third of the keys, no ranges, no keys."""
+    draw = random.Random(5)
+    edges = sorted({"".join(draw.choices("abc", k=4)) for _ in range(60)})
+    some = [(i, s, e) for i, (s, e) in enumerate(zip(edges, edges[1:])) if i % 5] + [(90, edges[-1], "")]
+    keys = sorted({"".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(300)} | set(edges) | {"b" + "a" * k for k in range(4, 150)})
+    shape, before = "region_id long, start_key string, end_key string", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", blocks)
+    try:
+        for ks, rs in ((keys, some), (keys, []), ([], some)):
+            table, known = spark.createDataFrame([(k,) for k in ks] + [(None,)], "k string"), spark.createDataFrame(rs, shape)
+            got = ranges.locate(table, known).collect()
+            holds = lambda k, s, e: k >= s and (not e or k < e)
+            assert sorted(map(tuple, got)) == [(k, i) for k in ks for i, s, e in rs if holds(k, s, e)]
+            want = []
+            for k in ks:
+                hit = [(holds(k, s, e), holds(k, s, e) and k > s) for _, s, e in rs if k >= s and (not e or k <= e)]
+                want += [(k, sum(h for h, _ in hit), sum(o for _, o in hit), len(hit))] if hit else []
+            assert sorted(map(tuple, ranges.members(table, known).collect())) == want
+            over = [(i, n) for i, _, e in rs if e and (n := sum(k >= e for k in ks))]
+            assert sorted(map(tuple, ranges.exceeding(table, known).collect())) == over
+            ids = [i for i, _, _ in rs]
+            assert sorted(map(tuple, ranges.siblings(known).collect()), key=lambda r: r[0]) == list(zip(ids, [None, *ids], [*ids[1:], None]))
+            sizes = known.selectExpr("region_id", "start_key", "region_id + 1 AS n")
+            sums = {i: sum(j + 1 for j in ids[: at + 1]) for at, i in enumerate(ids)}
+            assert {r.region_id: r.so_far for r in running_sum(sizes, "n", "start_key", "so_far").collect()} == sums
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lookups_have_no_nested_loops(spark):
+    for name in ("q_key_to_region", "q_key_in_region", "q_key_in_region_exclusive", "q_range_empty"):
+        plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
