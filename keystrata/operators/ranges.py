@@ -48,11 +48,27 @@ def exceeding(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     return below.crossJoin(at.agg(F.sum("n").alias("total"))).select(F.explode("ids").alias("region_id"), (F.col("n_exceeding") + F.col("total")).alias("n_exceeding")).where("n_exceeding > 0")  # with one row
 
 
+def _meeting(wanted: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each row of ``wanted`` (s, e) with each of the disjoint ranges that shares a key with it.
+
+    Ranges are numbered in order; both bounds of a row are looked up, and the numbers between them are joined by
+    equality, so that the work grows with the result.
+    """
+    numbered = running_sum(ranges.withColumn("one", F.lit(1).cast("long")), "one", "start_key", "place").drop("one")
+    bounds = wanted.select(F.explode(F.array("s", "e")).alias("key")).distinct()
+    at = as_of(bounds, numbered.select("start_key", "place"), "start_key").select("key", F.col("point.place").alias("place"))
+    both = wanted.join(at.withColumnsRenamed({"key": "s", "place": "low"}), "s", "left").join(at.withColumnsRenamed({"key": "e", "place": "high"}), "e", "left")
+    both = both.crossJoin(numbered.agg(F.max("place").alias("top")))  # with one row
+    high = F.when(F.col("e") == "", F.col("top")).otherwise(F.col("high"))
+    low = F.coalesce("low", F.lit(1).cast("long"))
+    each = both.withColumn("place", F.explode(F.when(low <= high, F.sequence(low, high)))).drop("low", "high", "top")
+    return each.join(numbered, "place").where(K.overlap(F.col("s"), F.col("e"), F.col("start_key"), F.col("end_key"))).drop("place")
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of ranges of different ids that share a key."""
-    p = a.select(F.col("region_id").alias("a_id"), F.col("start_key").alias("sa"), F.col("end_key").alias("ea"))
-    q = b.select(F.col("region_id").alias("b_id"), F.col("start_key").alias("sb"), F.col("end_key").alias("eb"))
-    return p.join(q, (F.col("a_id") != F.col("b_id")) & K.overlap(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb"))).select("a_id", "b_id")
+    """Pairs of ranges of different ids that share a key; those of ``b`` are disjoint."""
+    wanted = a.select(F.col("region_id").alias("a_id"), F.col("start_key").alias("s"), F.col("end_key").alias("e"))
+    return _meeting(wanted, b.select("region_id", "start_key", "end_key")).where("a_id <> region_id").select("a_id", F.col("region_id").alias("b_id"))
 
 
 def ending_in(ranges: DataFrame, start: str, end: str) -> DataFrame:
@@ -62,9 +78,10 @@ def ending_in(ranges: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def coverage(ranges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (want_id, want_start, want_end, bounded): is it covered without a gap, and by how many ranges."""
+    """wanted (want_id, want_start, want_end): is it covered without a gap by the disjoint ranges, and by how many."""
     ws, we = F.col("want_start"), F.col("want_end")
-    hit = wanted.join(ranges, K.overlap(ws, we, F.col("start_key"), F.col("end_key")), "left")
+    met = _meeting(wanted.select("want_id", ws.alias("s"), we.alias("e")), ranges.select("region_id", "start_key", "end_key"))
+    hit = wanted.join(met.drop("s", "e"), "want_id", "left")
     order = Window.partitionBy("want_id").orderBy("start_key")
     before = F.lag("end_key").over(order)
     gap = F.when(F.col("region_id").isNull(), 1).when(before.isNull() & (F.col("start_key") > ws), 1).when((before != "") & (before < F.col("start_key")), 1).otherwise(0)

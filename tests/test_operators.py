@@ -258,6 +258,10 @@ def test_steps_in_key_order(spark, blocks):
                 want += [(k, sum(h for h, _ in hit), sum(o for _, o in hit), len(hit))] if hit else []
             assert sorted(map(tuple, ranges.members(table, known).collect())) == want
             over = [(i, n) for i, _, e in rs if e and (n := sum(k >= e for k in ks))]
+            asked = [(j, s, e) for j, (s, e) in enumerate([("", ""), ("", "b"), ("a", "aa"), ("abab", "c"), ("bb", ""), ("cccc", "ccccc"), ("", "a"), ("ab", "ab")])]
+            meet = lambda s, e, x, y: (not y or s < y) and (not e or x < e)
+            pairs = sorted((j, i) for j, s, e in asked for i, x, y in rs if j != i and meet(s, e, x, y))
+            assert rows(ranges.overlaps(spark.createDataFrame(asked, shape), known)) == pairs
             assert sorted(map(tuple, ranges.exceeding(table, known).collect())) == over
             ids = [i for i, _, _ in rs]
             assert sorted(map(tuple, ranges.siblings(known).collect()), key=lambda r: r[0]) == list(zip(ids, [None, *ids], [*ids[1:], None]))
