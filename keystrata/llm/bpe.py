@@ -9,29 +9,29 @@ word of n bytes costs O(n log n).
 
 Text handling is that of the ``tokenizers`` library for a vocabulary file with NFC, white-space
 and lower-case normalisation, a splitting pattern, byte-level symbols and word ends.  White
-space never lies inside a pre-token, so a text is encoded chunk by chunk between white space,
-and chunks already met are looked up in a bounded memo (``memo`` entries in each of two
-generations; it changes the speed only).
+space never lies inside a pre-token, so a lower-cased text is encoded chunk by chunk between
+ASCII white space (the splitting pattern removes any other).  Arrow cuts the texts of a step,
+numbers their distinct chunks and puts the ids of each in place; chunks already met are looked
+up in a bounded memo (``memo`` entries in each of two generations; it changes the speed only).
 
 Null texts count as empty; an empty or all-white text has no ids and decodes to "".
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
 import json
+import os
 import unicodedata
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Unicode White_Space, which the splitting removes; str.split() also takes U+001C-U+001F.
-_WHITE = r"[\u0009-\u000D \u0085   -     　]+"
-_SPLIT = regex.compile(_WHITE)
-_ODD = regex.compile(r"[\x1c-\x1f]")
 _NONE = np.int32(2**31 - 1)
 _WIDEST = 64
 
@@ -43,12 +43,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def chunks(text: str) -> list[str]:
-    if _ODD.search(text):
-        return [x for x in _SPLIT.split(text) if x]
-    return text.split()
-
-
 class Vocabulary:
     """A vocabulary file of the tokenizers library: byte-level BPE with word ends."""
 
@@ -71,46 +65,44 @@ class Vocabulary:
         own = [c for c in ".,;:!?" if self._words("a" + c) == ["a", c]]
         return dict(zip(own, self.encode_words(own), strict=True))
 
-    def pieces(self, chunk: str) -> list[str | int]:
-        """Pre-tokens of a string without white space, in lower case; special tokens as their ids."""
-        if not (self._split and "<" in chunk):
-            low = _lower(chunk)
-            return [low] if low.isalpha() else self._words(low)
-        out: list[str | int] = []
-        for k, part in enumerate(self._split(chunk)):
-            out += [self.special[part]] if k % 2 else self._words(_lower(part))
-        return out
+    def parts(self, text: str) -> list[str | int]:
+        """A text in lower case, cut where special tokens stand, which come as their ids."""
+        if not any(x in text for x in self.special):
+            return [_lower(text)]
+        return [self.special[x] if k % 2 else _lower(x) for k, x in enumerate(self._split(text))]
 
-    def encode_chunks(self, raw: list[str]) -> list[bytes]:
-        """Ids of each string without white space, as little-endian unsigned 32-bit integers."""
+    def encode_chunks(self, raw: list[bytes], known: Callable[[bytes], bytes | None] = lambda chunk: None) -> list[bytes]:
+        """Ids of each lower-case string in UTF-8, as little-endian unsigned 32-bit integers; ``known``: those of a string met before."""
         out: list[bytes] = [b""] * len(raw)
-        whole: list[int] = []
-        words: list[str] = []  # of chunks that are one word each, or one and a stop, then of the others
-        rest: list[tuple[int, list[str | int]]] = []
-        stops, tails = self._stops, []
+        words: list[str] = []
+        place: dict[str, int] = {}
+        whole: list[tuple[int, int, bytes]] = []  # chunks that are one word each, or one and a stop
+        rest: list[tuple[int, list[int]]] = []
+        stops = self._stops
+
+        def of(word: str) -> int:
+            at = place.setdefault(word, len(words))
+            if at == len(words):
+                words.append(word)
+            return at
+
         for k, chunk in enumerate(raw):
-            low = chunk.lower() if chunk.isascii() else _lower(chunk)
+            low = chunk.decode("utf-8", "surrogatepass")
             if low.isalpha():
-                whole.append(k)
-                words.append(low)
-                tails.append(b"")
-            elif low[-1] in stops and low[:-1].isalpha():
-                whole.append(k)
-                words.append(low[:-1])
-                tails.append(stops[low[-1]])
+                whole.append((k, of(low), b""))
+            elif low[-1:] in stops and low[:-1].isalpha():
+                met = known(chunk[:-1])
+                if met:
+                    out[k] = met + stops[low[-1]]
+                else:
+                    whole.append((k, of(low[:-1]), stops[low[-1]]))
             else:
-                rest.append((k, self.pieces(chunk)))
-        known: dict[str, int] = {}
-        for _, own in rest:
-            for x in own:
-                if isinstance(x, str) and x not in known:
-                    known[x] = len(words)
-                    words.append(x)
+                rest.append((k, [*map(of, self._words(low))]))
         made = self.encode_words(words)
-        for k, ids, tail in zip(whole, made, tails):
-            out[k] = ids + tail
+        for k, at, tail in whole:
+            out[k] = made[at] + tail
         for k, own in rest:
-            out[k] = b"".join([made[known[x]] if isinstance(x, str) else x.to_bytes(4, "little") for x in own])
+            out[k] = b"".join([made[at] for at in own])
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -317,66 +309,117 @@ class LibraryBpe(Vocabulary):
     """Merges by the BPE model of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__(path)
-        self._library = Tokenizer.from_file(path)
-        self._symbols = dict(enumerate(byte_symbols()))
+        self._library = Tokenizer(Tokenizer.from_file(path).model)
+        self._library.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        symbols = byte_symbols()
+        symbols[10] = "\n"  # which parts the words and is in none
+        self._symbols = "".join(symbols)
+        self._final = self._finals()
+
+    def _finals(self) -> np.ndarray | None:
+        """Which ids end a word; None if some do so in one word and not in another."""
+        vocab, end = self.ids, self.model["end_of_word_suffix"] or ""
+        inner, last = ({vocab[c + x] for c in byte_symbols()} for x in ("", end))
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in self.model["merges"]]
+        merges, before = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], -1
+        while before != len(inner) + len(last):
+            before = len(inner) + len(last)
+            for a, b, both in merges:
+                if a in inner and b in inner:
+                    inner.add(both)
+                if a in inner and b in last:
+                    last.add(both)
+        if inner & last:
+            return None
+        final = np.zeros(len(self.tokens), bool)
+        final[list(last)] = True
+        return final
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        tokenize, symbols = self._library.model.tokenize, self._symbols
-        plain = lambda w: w.isascii() and w.isprintable()  # noqa: E731  bytes that are their own symbols
-        made = [tokenize(w if plain(w) else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(symbols)) for w in words]
-        return [array("I", [t.id for t in tokens]).tobytes() for tokens in made]
+        out: list[bytes] = []
+        encode = self._library.encode_batch if self._final is None else self._library.encode_batch_fast  # which tells no words
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            line = codecs.charmap_decode("\n".join(part).encode("utf-8", "surrogatepass"), "strict", self._symbols)[0]
+            made = encode([line], add_special_tokens=False)[0]
+            ids, start = np.array(made.ids, "<u4"), 0
+            if self._final is None:
+                ends = np.cumsum(np.bincount(made.word_ids))
+            else:
+                ends = np.flatnonzero(self._final[ids]) + 1
+            flat = ids.tobytes()
+            for _, end in zip(part, (4 * ends).tolist(), strict=True):
+                out.append(flat[start:end])
+                start = end
+        return out
 
 
 class Encoder:
     """Whole texts by way of chunks, with a memo of two generations of some more than ``memo`` chunks each."""
 
-    def __init__(self, backend, memo: int = 200_000, step_chars: int = 1_000_000):
+    def __init__(self, backend, memo: int = 200_000, step_chars: int = 4_000_000):
         self._backend, self._memo, self._step = backend, memo, step_chars
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The young generation, with all of ``words`` in it."""
+    def _learn(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks, which all are in the young generation then, but for long ones."""
         young, old = self._young, self._old
-        new = words.difference(young)
-        young.update((w, old[w]) for w in new.intersection(old))
-        missing = list(new.difference(old))
-        young.update(zip(missing, self._backend.encode_chunks(missing), strict=True))
-        return young
-
-    def _forget(self, words: set[str]) -> None:
-        for w in [w for w in words if len(w) > 64]:
-            del self._young[w]
-        if len(self._young) > self._memo:
-            self._old, self._young = self._young, {}
+        found = list(map(young.get, keys))
+        new = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            ids = old.get(keys[k])
+            if ids is None:
+                new.append(k)
+            else:
+                young[keys[k]] = found[k] = ids
+        missing = [keys[k] for k in new]
+        for k, key, ids in zip(new, missing, self._backend.encode_chunks(missing, lambda key: young.get(key) or old.get(key)), strict=True):
+            found[k] = ids
+            if len(key) <= 64:
+                young[key] = ids
+        if len(young) > self._memo:
+            self._old, self._young = young, {}
+        return found
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn, as little-endian unsigned 32-bit integers."""
         held, size = [], 0
         for text in texts:
-            text = text or ""
-            held.append(chunks(text))
-            size += len(text)
+            held.append(self._backend.parts(text or ""))
+            size += len(text or "")
             if size >= self._step:
                 yield from self._flush(held)
                 held, size = [], 0
         yield from self._flush(held)
 
-    def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
+    def _flush(self, held: list[list[str | int]]) -> Iterator[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes a cycle, and looking for some in the memo takes a fifth of the time
         try:
-            words = set().union(*held)
-            known = self._learn(words)
-            made = [b"".join(map(known.__getitem__, own)) for own in held]
-            self._forget(words)
+            made = self._rows([x.encode("utf-8", "surrogatepass") for own in held for x in own if isinstance(x, str)])
         finally:
             if collecting:
                 gc.enable()
-        yield from made
+        for own in held:
+            yield next(made) if len(own) == 1 else b"".join([next(made) if isinstance(x, str) else x.to_bytes(4, "little") for x in own])
+
+    def _rows(self, rows: list[bytes]) -> Iterator[bytes]:
+        ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+        lines = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(b"".join(rows)))
+        cut = pc.ascii_split_whitespace(lines)
+        coded = cut.values.view(pa.large_binary()).dictionary_encode()
+        ids = pa.array(self._learn(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return iter([b""] * len(rows))
+        _, places, data = ids.buffers()
+        at = np.frombuffer(places, np.int64)[cut.offsets.to_numpy()].tolist()
+        flat = memoryview(data) if data is not None else memoryview(b"")
+        return (bytes(flat[a:b]) for a, b in zip(at, at[1:]))
 
     def decode(self, ids: bytes) -> str:
         return self._backend.decode(ids)

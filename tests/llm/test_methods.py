@@ -31,6 +31,37 @@ def test_encoders_equal_the_library(pair, texts):
     assert [own.decode(x) for x in own.encode(texts)] == [t.decode(i, skip_special_tokens=False) for i in want]
 
 
+@pytest.mark.parametrize("backend", [bpe.SegmentTreeBpe, bpe.LibraryBpe])
+def test_each_word_is_merged_once(backend, monkeypatch):
+    """Case, stops and a text's place change nothing about a word, also in later steps."""
+    enc, asked = bpe.Encoder(backend(tokenize.public_vocabulary()), step_chars=20), []
+    enc._backend._stops  # merged once and for all
+    merge = enc._backend.encode_words
+    monkeypatch.setattr(enc._backend, "encode_words", lambda words: asked.extend(words) or merge(words))
+    list(enc.encode(["Wort wort WORT wort. Wort, x wort!", "wort? Wort: y ÜBER", "über; Über wort"]))
+    assert sorted(asked) == ["wort", "x", "y", "über"]
+
+
+def test_special_tokens_and_white_space(pair):
+    own, by_library, t = pair
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "</w>", "a</w>", "...", ".", "it's.", "5.", "é.", "\x1c", "\x1fa"]
+    white = [" ", "", "\n", "\x0b", "\x85", "\xa0", "\u1680", "\u2000", "\u2028", "\u202f", "\u3000"]
+    texts = ["", " ", "\t\n", *(a + w + b for a in marks for w in white for b in marks), "A\u030a ΣΑΣ. ÍI\u0307" * 3, None]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for enc in (own, by_library):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+        assert [np.frombuffer(next(enc.encode([x])), "<u4").tolist() for x in texts] == want
+
+
+def test_library_words_without_marked_ends():
+    """Where ids do not tell the ends of words, the library does."""
+    lib, words = bpe.LibraryBpe(tokenize.public_vocabulary()), ["one", "unquestionably", "x", "größe", "</w>"] * 70
+    want = lib.encode_words(words)
+    assert lib._final is not None and want == bpe.SegmentTreeBpe(tokenize.public_vocabulary()).encode_words(words)
+    lib._final = None
+    assert lib.encode_words(words) == want
+
+
 @pytest.mark.parametrize("word", ["a" * 5000, "in" * 300, "é" * 70, "ab" * 32, "ab" * 33])
 def test_long_words(pair, word):
     own, _, t = pair
