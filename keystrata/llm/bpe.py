@@ -432,5 +432,7 @@ def encoder(path: str, library: bool = False) -> Encoder:
     """One per Python worker and vocabulary file."""
     key = (path, library)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(LibraryBpe(path) if library else SegmentTreeBpe(path))
+        backend = LibraryBpe(path) if library else SegmentTreeBpe(path)
+        backend.model = {}  # the file's merges and ids are in the backend's own tables now
+        _ENCODERS[key] = Encoder(backend)
     return _ENCODERS[key]

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Scratch, bounded, sliced, text_key, without_rows
+from .storage import Scratch, bounded, lean, sliced, text_key, without_rows
 
 WORDS, PERCENT = 5, 75
 TREES, COORDINATES, AGREE = 8, 64, 29
@@ -140,7 +140,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n", "h", "g", "tokens", "roots"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("t"), "text")
-    return rows.mapInArrow(run, "doc_id long, t long, n long, h long, g long, tokens binary, roots array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, t long, n long, h long, g long, tokens binary, roots array<long>")
 
 
 class _Texts:
@@ -160,7 +160,7 @@ class _Texts:
         want = bounded(self.classes.select("id", "rep.doc_id", "rep.t").join(ids, "id", "left_semi"), 1_000_000)
         docs = self.docs.select(F.col("doc_id").cast("long"), text_key().alias("t"), "text")
         same = docs["doc_id"].eqNullSafe(want["doc_id"]) & (docs["t"] == want["t"])
-        return docs.join(want, same).select("id", "text").mapInArrow(run, "id long, content binary")
+        return docs.join(want, same).select("id", "text").mapInArrow(lean(run), "id long, content binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("tokens").alias("s"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("tokens").alias("t"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "p", "q", "s", "t").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "p", "q", "s", "t").mapInArrow(lean(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: _Texts, scratch: Scratch, step: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _confirmed(pairs: DataFrame, texts: _Texts, scratch: Scratch, step: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     left, right = sets.select(F.col("id").alias("a"), F.col("content").alias("x")), sets.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    links = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
     links = scratch.write(links.distinct(), f"links{step}")
     for name in ("ids", "sets", "pairs"):
         scratch.drop(f"{name}{step}")
@@ -214,7 +214,7 @@ def _by_node(rows: DataFrame, work, schema: str) -> DataFrame:
             yield from work(node)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, schema)
+    return rows.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(lean(run), schema)
 
 
 _CLOSE = "node long, id long, component long, n long, tokens binary"
@@ -346,7 +346,7 @@ def _branch(rows: DataFrame) -> DataFrame:
             for rows_, child in minwise().children(node, tokens):
                 yield pa.RecordBatch.from_arrays([pa.array(child), *batch.take(pa.array(rows_)).columns[1:]], batch.schema.names)
 
-    return rows.select(*_ROW).mapInArrow(run, _CLOSE)
+    return rows.select(*_ROW).mapInArrow(lean(run), _CLOSE)
 
 
 def _pairs_of_blocks(rows: DataFrame) -> DataFrame:

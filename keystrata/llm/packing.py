@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .storage import Scratch, sliced
+from .storage import Scratch, lean, sliced
 
 CAPACITY, END_ID = 4096, 1
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, encodes=True), _PIECES)
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence = first[at] + (r - before[at]) // many[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64())], [*batch.schema.names[:5], "sequence_id"])
 
-    placed = ranked.mapInArrow(run, _PIECES + ", sequence_id long")
+    placed = ranked.mapInArrow(lean(run), _PIECES + ", sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
     return placed.withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
 

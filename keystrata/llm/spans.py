@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .storage import Scratch, sliced
+from .storage import Scratch, lean, sliced
 
 WORDS, SEVERAL = 20, 2
 #: Each match looks at white space or a CJK stop only, so that no text takes more than linear time.  Group 1: a single line end.
@@ -134,7 +134,7 @@ def _run_table(docs: DataFrame, words: int) -> DataFrame:
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array((both[:, 1] >> 32).astype(np.int32)), pa.array(np.repeat(np.array(ids, np.int64), many))], ["h", "g", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, g int, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "h long, g int, doc_id long")
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
@@ -173,7 +173,7 @@ def _stripped(docs: DataFrame, scratch: Scratch, words: int, counted: bool) -> D
             yield pa.RecordBatch.from_arrays(columns, names)
 
     at = docs.columns.index("text")
-    return both.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in _COUNTS if counted)]))
+    return both.mapInArrow(lean(run), StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in _COUNTS if counted)]))
 
 
 def strip(text: str | None, gone, words: int = WORDS) -> tuple[str | None, int, int]:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 _LOCAL: list[str] = []
 #: Bytes of text that are taken apart at a time in a Python worker.
 SLICE = 4 << 20
+#: Bytes of Arrow batches after which a task gives freed memory back.
+BETWEEN = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +100,52 @@ def _lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable:
+    """``run`` for mapInArrow, in a worker that stays as small as this task needs.
+
+    Spark keeps a Python worker for the next tasks, and the allocators keep what a task has freed, so that the steps of a
+    job add up.  Freed memory goes back to the system before and after the task and every ``BETWEEN`` bytes of input; encoders and
+    their memos go when a task that does not encode begins.
+    """
+
+    def task(batches):
+        if not encodes:
+            _forget_encoders()
+        give_back()
+        try:
+            yield from run(_giving_back(batches))
+        finally:
+            give_back()
+
+    return task
+
+
+def _giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = 0
+    for batch in batches:
+        yield batch
+        seen += batch.nbytes
+        if seen >= BETWEEN:
+            give_back()
+            seen = 0
+
+
+def give_back() -> None:
+    """Returns freed memory, Arrow's and that of malloc, to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+
+def _forget_encoders() -> None:
+    bpe = sys.modules.get("keystrata.llm.bpe")
+    if bpe and bpe._ENCODERS:
+        bpe._ENCODERS.clear()
+        gc.collect()
+
+
 def text_key() -> Column:
     """What tells rows with one doc_id apart: a hash of the whole text as it stands."""
     return F.xxhash64("text")

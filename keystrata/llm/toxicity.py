@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import held_out, learnable, sample
-from .storage import bounded, sliced
+from .storage import bounded, lean, sliced
 
 SAMPLE, CLEAN, SAMPLE_CHARS, WINDOW, SEGMENT, AROUND, FLOOR = 900, 2700, 15_000_000, 48, 192, 96, 20.0
 BUCKETS, WIDTH, STATE = 1 << 14, 8, 8
@@ -401,7 +401,7 @@ def toxicity_scores(docs: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(hit, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -412,4 +412,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for batch in sliced(batches, size=STEP_BYTES):
             yield batch.filter(pa.array([s < threshold for s in shared.value.scores(batch.column("text").to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
